@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         else:  # the lightest of a meet the lightest of b crosswise: heavy with light
             own = len(a) - shared
             merged = a[:own] + b[: len(b) - shared] + [(x + y, (p, q)) for (x, p), (y, q) in zip(a[own:], b[len(b) - shared :][::-1], strict=True)]
-        merged.sort(key=lambda w: -w[0])
+        merged.sort(key=itemgetter(0), reverse=True)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
         heapq.heappush(heap, (-spread, fresh, merged))
         fresh += 1
@@ -74,9 +75,9 @@ def packer(path: str | None, capacity: int, max_piece: int, group: int, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .tokens import Encoder
+        from .tokens import encoder as shared_encoder
 
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         whole: list[tuple] = []

@@ -127,9 +127,9 @@ def _writer(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .tokens import Encoder
+        from .tokens import encoder as shared_encoder
 
-        encoder, shard, block = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, block = shared_encoder(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
         parts: list[np.ndarray] = []
 
