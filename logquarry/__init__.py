@@ -1,0 +1 @@
+"""Log analytics and columnar log archives on Spark DataFrames."""
