@@ -289,6 +289,26 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     return out
 
 
+def _distinct(rows: np.ndarray, key: np.ndarray, contexts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to build suffix arrays of, by key, and rows whose context another has as well.
+
+    Of equal contexts one is enough, and an anchor with a single context has no more repeats:
+    two equal windows of one context would have two anchors."""
+    data, at = _text.utf8(contexts)
+    place = np.arange(len(rows))
+    h = _text.span_hash(_text.prefix(data.astype(U) + U(1), _text._BYTE), at[:-1], at[1:], _text._BYTE) if len(data) else np.zeros(len(rows), U)
+    order = np.lexsort([h, key])
+    k, h = key[order], h[order]
+    same = (k[1:] == k[:-1]) & (h[1:] == h[:-1])
+    twin = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(rows) else np.zeros(0, bool)
+    first = np.concatenate([[True], ~same]) if len(rows) else twin
+    one = order[first]
+    k = key[one]
+    several = k[1:] == k[:-1]
+    keep = np.concatenate([[False], several]) | np.concatenate([several, [False]]) if len(one) else np.zeros(0, bool)
+    return rows[place[one[keep]]], rows[order[twin]]
+
+
 def _intervals(width: int, most: int = 4 << 20):
     def run(table: pa.Table) -> pa.Table:
         kind, key = table["kind"].to_numpy(), table["key"].to_numpy()
@@ -296,10 +316,11 @@ def _intervals(width: int, most: int = 4 << 20):
         place, owned = table["place"].to_numpy().astype(np.int64), table["owned"].to_numpy().astype(np.int64)
         out = []
         whole = np.flatnonzero(kind != 0)  # met their copy already
-        out.append((whole, place[whole], place[whole] + owned[whole] - 1 + width))
         real = np.flatnonzero((kind & 1) == 0)
-        real = real[np.argsort(key[real], kind="stable")]
         texts = table["context"].combine_chunks() if isinstance(table["context"], pa.ChunkedArray) else table["context"]
+        real, twins = _distinct(real, key[real], texts.take(pa.array(real)))
+        whole = np.unique(np.concatenate([whole, twins]))
+        out.append((whole, place[whole], place[whole] + owned[whole] - 1 + width))
         i = 0
         while i < len(real):
             j, size = i, 0
