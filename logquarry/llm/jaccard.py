@@ -4,13 +4,13 @@ A document is the set of its distinct `width`-word shingles.  Sets link when the
 is at least `percent` hundredths of the union; the largest symmetric difference of two linked
 sets, the smaller of at most r shingles, is then k(r) = floor(r / 4) at 80 %.
 
-Sizes fall into bands (s <= r, ratio 1.5).  A set takes part in the band of its own size, and
-as a guest in each lower band whose largest set it could still link with.  A band divides the
-shingle domain by hash into n1 rows of three parts.  Of n1 rows, at least m = n1 - k // 2
-differ in at most one shingle, so leaving one part out leaves equal contents: each row gives
-three signatures, the content of two parts (as a sum of hashes).  Linked sets of a band share
-a non-empty signature unless m or more rows of one of them have an empty one; only such a
-set also gives its empty ones.
+Sizes fall into bands (s <= r, ratio 1.35).  A set takes part in the band of its own size,
+and as a guest in each lower band whose largest set it could still link with.  A band divides
+the shingle domain by hash into n1 rows of four parts; at least m = n1 - k // 3 rows differ in
+at most two shingles, so two of the four parts are equal.  Each row gives six signatures, the
+content of each two parts (as a sum of hashes).  Small differences k use one row of k + 2
+parts.  Linked sets of a band share a non-empty signature unless m or more rows of one of
+them have an empty one; only such a set also gives its empty ones.
 
 1. Tasks work in blocks: equal sets are one, signatures travel packed to the bucket of their
    hash.  A signature that `local_hot` or more sets of a block have is sent on as plain rows
@@ -18,7 +18,8 @@ set also gives its empty ones.
 2. Buckets yield (signature, set) of every signature that several sets have.
 3. Each set is checked against the least set of its signature (a star, never all pairs); the
    links found give components.  Only pairs of one signature still in different components
-   are then enumerated, once each, and checked.  All checks count common shingles exactly.
+   are then enumerated, once each, and checked.  A check first compares sketches, a lower
+   bound of the difference that never rejects a link, then counts common shingles exactly.
 4. Sets carry their component back to all documents.
 
 Without words, or with a null text, a set is empty and links with nothing.  Rows that repeat
@@ -28,6 +29,7 @@ empty table yields no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +39,19 @@ from pyspark.sql import functions as F
 
 from . import _store, _text
 from .components import components
-from .windows import BLOCK_BYTES, _eight, _seven, pack_places, unpack_places
+from .windows import BLOCK_BYTES, pack_places, unpack_places
 
 U = np.uint64
 WIDTH, PERCENT = 5, 80
 PACKED = "bucket long, kind int, entries binary, places binary, sets binary"
-FOUND = "kind int, sig long, set long, n int, _d long, _t long"
+FOUND = "kind int, sig long, set long, n int, _d long, _t long, sketch binary"
+BINS = 256
+#: Up to so large a difference a single row of parts serves.
+FEW = 6
+#: Tasks over which the signatures of one pivot spread.
+SALTS = 8
+#: Sets whose rows (24 bytes each) may be broadcast to find their texts; more are found by a shuffled join.
+BROADCAST_SETS = 1_000_000
 NONE = -(2**63)
 
 
@@ -61,10 +70,32 @@ def set_id(shingles: np.ndarray) -> int:
     return int(_text.mix(np.array([total], U)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles per hash bin, at most 255.  Two sets differ at least by what their sketches do."""
+    return np.minimum(np.bincount((_text.mix(shingles.copy()) >> U(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def pack_set(shingles: np.ndarray) -> bytes:
+    """Sorted distinct shingles by the upper 48 bits of their hashes."""
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpack_set(b) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel()
+
+
+def short(sig: np.ndarray, bits: int) -> np.ndarray:
+    """A signature as buckets know it: its bucket and 32 bits more.  A chance meeting costs a check."""
+    return (sig >> U(64 - bits)) << U(32) | sig & U(0xFFFFFFFF)
+
+
 def bands(largest: int) -> list[int]:
     out = [4]
     while out[-1] < largest:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.5)))
+        out.append(max(out[-1] + 1, int(out[-1] * 1.35)))
     return out
 
 
@@ -73,25 +104,27 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     s = len(shingles)
     if not s:
         return np.zeros(0, U)
-    own = [r for r in bands(s) if percent * s <= 100 * r]  # its own band and those it is a guest of
     spread = _text.mix(shingles.copy())
     low, high = (spread & U(0xFFFFFFFF)).astype(np.float64), (spread >> U(32)).astype(np.float64)
     out = []
-    for r in own:
+    for r in (r for r in bands(s) if percent * s <= 100 * r):  # its own band and those it is a guest of
         k = int((100 - percent) * (r + r * 100 / percent) / (100 + percent) + 1e-9)
         if k == 0:
             continue  # only equal sets, and those are one already
-        m = 1 + (k // 2) // 12
-        n1 = k // 2 + m
-        part = ((spread >> U(8)) % U(3 * n1)).astype(np.int64)
-        size = 3 * n1
-        held = np.bincount(part, minlength=size).reshape(n1, 3)
-        sums = (np.bincount(part, low, size).astype(U) + (np.bincount(part, high, size).astype(U) << U(32))).reshape(n1, 3)
-        content = sums.sum(axis=1, dtype=U)[:, None] - sums
-        count = held.sum(axis=1)[:, None] - held
-        name = np.arange(size, dtype=U).reshape(n1, 3) + U(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if k <= FEW:
+            n1, n2, m = 1, k + 2, 1
+        else:
+            m = 1 + k // 24
+            n1, n2 = k // 3 + m, 4
+        size = n1 * n2
+        part = ((spread >> U(8)) % U(size)).astype(np.int64)
+        held = np.bincount(part, minlength=size).reshape(n1, n2)
+        sums = (np.bincount(part, low, size).astype(U) + (np.bincount(part, high, size).astype(U) << U(32))).reshape(n1, n2)
+        i, j = np.triu_indices(n2, 1)
+        content = sums[:, i] + sums[:, j]
+        empty = held[:, i] + held[:, j] == 0
+        name = np.arange(content.size, dtype=U).reshape(content.shape) + U(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         sig = _text.mix(content ^ _text.mix(name))
-        empty = count == 0
         out.append(sig[~empty] if empty.any(axis=1).sum() < m else sig.ravel())
     return np.concatenate(out) if out else np.zeros(0, U)
 
@@ -103,7 +136,7 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
             return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 3], strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
         def block(d, t, texts):
-            ids, sizes, known, sigs = [], [], {}, []
+            ids, sizes, known, sigs, sketches = [], [], {}, [], []
             for _, data, at in _text.slices(texts):
                 data = _text.LOWER[data]
                 start, end, first = _text.words(data, at, _text.SPACE_SEPARATED)
@@ -115,10 +148,13 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
                     if len(shingles) and i not in known:
                         known[i] = (len(known), len(shingles))
                         sigs.append(signatures(shingles, percent))
+                        sketches.append(sketch(shingles))
             table = np.array([[i, n] for i, (_, n) in known.items()], "<i8").reshape(-1, 2)
             yield (abs(hash((int(d[0]), len(d)))) % (1 << bits), 2, np.array(ids, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), d.astype("<i8").tobytes() + t.astype("<i8").tobytes())
             if not sigs:
                 return
+            for i in range(0, len(table), 256):
+                yield (abs(hash((int(d[0]), i))) % (1 << bits), 3, zlib.compress(b"".join(sketches[i : i + 256]), 1), b"", table[i : i + 256].tobytes())
             who = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
             sig = np.concatenate(sigs)
             order = np.argsort(sig, kind="stable")
@@ -130,7 +166,7 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
                 own = order[hot]
                 for i in range(0, len(own), 1 << 14):
                     x = own[i : i + (1 << 14)]
-                    yield (int(sig[x[-1]] & U(0x7FFFFFFF)) + int(d[0]) & (1 << bits) - 1, 1, sig[x].astype("<u8").tobytes(), b"", table[who[x]].tobytes())
+                    yield (int(sig[x[-1]] & U(0x7FFFFFFF)) + int(d[0]) & (1 << bits) - 1, 1, short(sig[x], bits).astype("<u8").tobytes(), b"", table[who[x]].tobytes())
                 first = np.zeros(len(s), bool)
                 first[new] = True
                 order = order[~hot | first]
@@ -147,7 +183,7 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
                     place = np.sort(2 * who[own] + flagged[own])
                     own = own[np.argsort(2 * who[own] + flagged[own], kind="stable")]
                     sets, place2 = np.unique(place >> 1, return_inverse=True)
-                    yield (b, 0, _seven(sig[own]), pack_places(2 * place2 + (place & 1)), table[sets].tobytes())
+                    yield (b, 0, sig[own].astype("<u4").tobytes(), pack_places(2 * place2 + (place & 1)), table[sets].tobytes())
 
         for batch in batches:
             _, at = _text.utf8(batch.column(2))
@@ -173,13 +209,14 @@ def _bucket(bits: int):
         bucket = table["bucket"][0].as_py()
         rows = []
 
-        def add(k, sig, ids, n, d=None, t=None):
+        def add(k, sig, ids, n, d=None, t=None, sketches=None):
             none = np.zeros(len(ids), np.int64)
-            rows.append(pa.table([pa.array(np.full(len(ids), k, np.int32)), pa.array(sig), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(none if d is None else d), pa.array(none if t is None else t)], names=[x.split()[0] for x in FOUND.split(", ")]))
+            cols = [pa.array(np.full(len(ids), k, np.int32)), pa.array(sig), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(none if d is None else d), pa.array(none if t is None else t), pa.array(sketches or [None] * len(ids), pa.binary())]
+            rows.append(pa.table(cols, names=[x.split()[0] for x in FOUND.split(", ")]))
 
         real = [i for i, k in enumerate(kind) if k == 0]
         if real:
-            sig = np.concatenate([_eight(entries[i]) for i in real]) | U(bucket) << U(64 - bits)
+            sig = np.concatenate([np.frombuffer(entries[i], "<u4") for i in real]).astype(U) | U(bucket) << U(32)
             pair, hot = [], []
             for i in real:
                 place, own = unpack_places(places[i]), np.frombuffer(sets[i], "<i8").reshape(-1, 2)
@@ -200,13 +237,15 @@ def _bucket(bits: int):
             if k == 1:
                 p = np.frombuffer(sets[i], "<i8").reshape(-1, 2)
                 s = np.frombuffer(entries[i], "<u8")
-                s = s & U((1 << 56) - 1) | s >> U(64 - bits) << U(64 - bits)  # as the buckets know them
                 add(0, s.view(np.int64), p[:, 0], p[:, 1])
             elif k == 2:
                 ids, n = np.frombuffer(entries[i], "<i8"), np.frombuffer(places[i], "<i8")
                 d, t = np.split(np.frombuffer(sets[i], "<i8"), 2)
                 add(2, np.zeros(len(ids), np.int64), ids, n, d, t)
-        return pa.concat_tables(rows) if rows else pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in FOUND.split(", ")]).empty_table()
+            elif k == 3:
+                own, raw = np.frombuffer(sets[i], "<i8").reshape(-1, 2), zlib.decompress(entries[i])
+                add(3, np.zeros(len(own), np.int64), own[:, 0], own[:, 1], sketches=[raw[x : x + BINS] for x in range(0, len(raw), BINS)])
+        return pa.concat_tables(rows) if rows else pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in FOUND.split(", ")]).empty_table()
 
     return run
 
@@ -218,7 +257,7 @@ def _shingler(width: int):
                 data = _text.LOWER[data]
                 start, end, first = _text.words(data, at, _text.SPACE_SEPARATED)
                 hashes = _text.word_hashes(data, start, end)
-                own = [set_of(hashes[a:b], width).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                own = [pack_set(set_of(hashes[a:b], width)) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], names=["set", "shingles"])
 
     return run
@@ -230,7 +269,7 @@ def _checker(percent: int):
             a, b, x, y = batch.columns
             keep = []
             for p, q in zip(x, y, strict=True):
-                u, v = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
+                u, v = unpack_set(p.as_buffer()), unpack_set(q.as_buffer())
                 if len(u) > len(v):
                     u, v = v, u
                 common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
@@ -241,6 +280,52 @@ def _checker(percent: int):
     return run
 
 
+def _screen(percent: int):
+    """Drops pairs whose sketches alone differ by more than linked sets may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = batch.columns
+            u, v = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (x, y))
+            least = np.abs(u - v).sum(axis=1)
+            mask = pa.array(least * (100 + percent) <= (100 - percent) * (n.to_numpy().astype(np.int64) + m.to_numpy()))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def _apart(percent: int, step: int = 64):
+    """Pairs of one signature in different components whose sizes and sketches allow a link.
+
+    Sets stand by size, so each meets only those up to the largest it could link with; a pair
+    that the sketches rule out is never made a row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, ids, n, comp = (table[c].to_numpy() for c in ("sig", "set", "n", "component"))
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        order = np.lexsort([ids, n, sig])
+        sig, ids, n, comp, sketches = sig[order], ids[order], n[order].astype(np.int64), comp[order], sketches[order]
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else [0]
+        found = set()
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            if (comp[x:y] == comp[x]).all():
+                continue
+            for i in range(x, y, step):
+                rows = np.arange(i, min(i + step, y))
+                last = int(np.searchsorted(n[x:y], 100 * n[rows[-1]] // percent, "right")) + x
+                for j in range(i, last, 1024):
+                    cols = np.arange(j, min(j + 1024, last))
+                    near = np.abs(sketches[rows, None, :].astype(np.int16) - sketches[None, cols, :]).sum(axis=2) * (100 + percent) <= (100 - percent) * (n[rows, None] + n[None, cols])
+                    near &= (comp[rows, None] != comp[None, cols]) & (rows[:, None] < cols[None, :])
+                    p, q = np.nonzero(near)
+                    u, v = ids[rows[p]], ids[cols[q]]
+                    found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 def _possible(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
@@ -256,33 +341,40 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     classes = found.where("kind = 2").select("_d", "_t", "set", "n")
     members = found.where("kind = 0").select("sig", "set", "n").distinct()
 
-    least = members.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    star = members.join(least, "sig").where(F.col("set") != F.col("p.set"))
-    star = star.where(_possible("n", "p.n", percent)).select(F.col("p.set").alias("a"), F.col("set").alias("b")).distinct()
-    star = _store.written(star, "star")
+    sketches = found.where("kind = 3").select("set", "n", "sketch").dropDuplicates(["set"])
 
-    # the texts of all sets that a signature brings together, once
-    joined = members.join(least.where("many > 1").select("sig"), "sig", "left_semi").select("set").distinct()
-    first = classes.groupBy("set").agg(F.min(F.struct("_d", "_t")).alias("r")).join(joined, "set", "left_semi").select("set", "r._d", "r._t")
-    texts = own.select("_d", "_t", "text").join(first, ["_d", "_t"]).select("set", "text")
-    shingles = _store.written(texts.mapInArrow(_shingler(width), "set long, shingles binary").dropDuplicates(["set"]), "shingles")
+    def screened(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs (a, b) those whose sketches allow a link."""
+        x = sketches.select(F.col("set").alias("a"), "n", F.col("sketch").alias("x"))
+        y = sketches.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y")
+        return _store.written(both.mapInArrow(_screen(percent), "a long, b long"), name)
 
     def checked(pairs: DataFrame) -> DataFrame:
+        """Of pairs those that link, by their texts' shingles."""
+        needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        places = _store.written(classes.groupBy("set").agg(F.min(F.struct("_d", "_t")).alias("r")).join(needed, "set", "left_semi").select("set", "r._d", "r._t"), "needed")
+        small = places.count() <= BROADCAST_SETS
+        texts = own.select("_d", "_t", "text").join(F.broadcast(places) if small else places, ["_d", "_t"]).select("set", "text")
+        shingles = _store.written(texts.mapInArrow(_shingler(width), "set long, shingles binary").dropDuplicates(["set"]), "shingles")
         x = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
         y = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_checker(percent), "a long, b long")
+        return _store.written(both.mapInArrow(_checker(percent), "a long, b long"), "links")
 
-    links = _store.written(checked(star), "links")
+    least = members.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    star = members.join(least, "sig").where(F.col("set") != F.col("p.set"))
+    star = star.where(_possible("n", "p.n", percent)).select(F.col("p.set").alias("a"), F.col("set").alias("b")).distinct()
+    star = screened(star, "star")
+    links = checked(star)
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("set").alias("pivot"), F.count(F.lit(1)).alias("many")).where("x <> y and many > 2")
-    left = _store.written(placed.join(open_.select("sig", "pivot"), "sig").where("set <> pivot").select("sig", "set", "n", "component"), "open")
-    other = left.select("sig", F.col("set").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = left.join(other, "sig").where((F.col("set") < F.col("b")) & (F.col("component") != F.col("other"))).where(_possible("n", "m", percent))
-    rest = rest.select(F.col("set").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _store.written(checked(rest), "links")
-    return classes, links.unionByName(more)
+    left = placed.join(open_.select("sig", "pivot"), "sig").where("set <> pivot").select("sig", "pivot", "set", "n", "component")
+    # signatures of one pivot share most of their pairs, so few tasks should say each
+    left = left.join(sketches.select("set", "sketch"), "set").withColumn("bin", F.xxhash64("pivot", F.pmod("sig", F.lit(SALTS)))).drop("pivot")
+    rest = left.groupBy("bin").applyInArrow(_apart(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    return classes, links.unionByName(checked(_store.written(rest, "rest")))
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
