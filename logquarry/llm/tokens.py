@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from . import _text
 
 #: Pieces remembered by one worker; beyond that it forgets all and starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 _WHOLE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
@@ -99,7 +99,7 @@ class Encoder:
         rows = [next(own) if whole[i] else ids[at[i] : at[i + 1]] for i in range(n)]
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 
-    def batches(self, texts: pa.Array, most: int = 4 * _text.SLICE_BYTES):
+    def batches(self, texts: pa.Array, most: int = 2 * _text.SLICE_BYTES):
         """(first row, ids, offsets) of consecutive groups of whole documents."""
         _, at = _text.utf8(texts)
         i = 0
