@@ -50,8 +50,8 @@ class Windows:
         self.by_size = {}
         for n in {n for n, _ in found}:
             keys = np.array(sorted(k for m, k in found if m == n), np.uint64)
-            bitmap = np.zeros(1 << 22, bool)
-            bitmap[keys & np.uint64((1 << 22) - 1)] = True
+            bitmap = np.zeros(1 << 18, bool)
+            bitmap[keys & np.uint64((1 << 18) - 1)] = True
             self.by_size[n] = (keys, bitmap, [{b: frozenset(i) for b, i in found[n, int(k)].items()} for k in keys])
 
     def scan(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, frozenset]]]:
@@ -61,7 +61,7 @@ class Windows:
         hashes, raw, hits = _text.word_hashes(data, start, end), None, []
         for n, (keys, bitmap, texts) in self.by_size.items():
             places, found = _text.windows(hashes, first, n)
-            near = np.flatnonzero(bitmap[found & np.uint64((1 << 22) - 1)])
+            near = np.flatnonzero(bitmap[found & np.uint64((1 << 18) - 1)])
             if not len(near):
                 continue
             at_key = np.minimum(np.searchsorted(keys, found[near]), len(keys) - 1)
