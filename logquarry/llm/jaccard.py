@@ -16,9 +16,10 @@ them have an empty one; only such a set also gives its empty ones.
    hash.  A signature that `local_hot` or more sets of a block have is sent on as plain rows
    that spread over all tasks, with one entry to its bucket.
 2. Buckets yield (signature, set) of every signature that several sets have.
-3. Each set is checked against the least set of its signature (a star, never all pairs); the
-   links found give components.  Only pairs of one signature still in different components
-   are then enumerated, once each, and checked.  A check first compares sketches, a lower
+3. Of the least sets of its signatures, each set is checked against the least and the one it
+   shares most signatures with (stars, never all pairs); the links found give components.
+   Only pairs of one signature still in different components are then enumerated, once each,
+   and checked.  A check first compares sketches, a lower
    bound of the difference that never rejects a link, then counts common shingles exactly.
 4. Sets carry their component back to all documents.
 
@@ -297,8 +298,8 @@ def _screen(percent: int):
 def _apart(percent: int, step: int = 64):
     """Pairs of one signature in different components whose sizes and sketches allow a link.
 
-    Sets stand by size, so each meets only those up to the largest it could link with; a pair
-    that the sketches rule out is never made a row."""
+    Sets stand by size, so each meets only those of sizes it could link with.  The largest
+    component's own sets never meet; a pair that the sketches rule out is never made a row."""
 
     def run(table: pa.Table) -> pa.Table:
         sig, ids, n, comp = (table[c].to_numpy() for c in ("sig", "set", "n", "component"))
@@ -308,15 +309,20 @@ def _apart(percent: int, step: int = 64):
         edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else [0]
         found = set()
         for x, y in zip(edge[:-1], edge[1:], strict=True):
-            if (comp[x:y] == comp[x]).all():
+            names, counts = np.unique(comp[x:y], return_counts=True)
+            if len(names) < 2:
                 continue
-            for i in range(x, y, step):
-                rows = np.arange(i, min(i + step, y))
+            main = comp == names[np.argmax(counts)]
+            others = np.flatnonzero(~main[x:y]) + x
+            for i in range(0, len(others), step):
+                rows = others[i : i + step]
+                first = int(np.searchsorted(n[x:y], -(-percent * n[rows[0]] // 100), "left")) + x
                 last = int(np.searchsorted(n[x:y], 100 * n[rows[-1]] // percent, "right")) + x
-                for j in range(i, last, 1024):
+                for j in range(first, last, 1024):
                     cols = np.arange(j, min(j + 1024, last))
+                    cols = cols[main[cols] | (cols > rows[0])]
                     near = np.abs(sketches[rows, None, :].astype(np.int16) - sketches[None, cols, :]).sum(axis=2) * (100 + percent) <= (100 - percent) * (n[rows, None] + n[None, cols])
-                    near &= (comp[rows, None] != comp[None, cols]) & (rows[:, None] < cols[None, :])
+                    near &= (comp[rows, None] != comp[None, cols]) & (main[None, cols] | (rows[:, None] < cols[None, :]))
                     p, q = np.nonzero(near)
                     u, v = ids[rows[p]], ids[cols[q]]
                     found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
@@ -330,9 +336,9 @@ def _possible(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = 8 << 20, local_hot: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): one row (_d, _t, set, n) per document, and the linked pairs (a, b) of
-    different sets that connect every component."""
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = 8 << 20, local_hot: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, components): one row (_d, _t, set, n) per document, the linked pairs
+    (a, b) of different sets that connect every component, and (node, component) of those sets."""
     own = _store.keyed(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(1.5 * size / bucket_bytes).bit_length())
@@ -363,9 +369,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
         return _store.written(both.mapInArrow(_checker(percent), "a long, b long"), "links")
 
     least = members.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    star = members.join(least, "sig").where(F.col("set") != F.col("p.set"))
-    star = star.where(_possible("n", "p.n", percent)).select(F.col("p.set").alias("a"), F.col("set").alias("b")).distinct()
-    star = screened(star, "star")
+    met = members.join(least, "sig").where(F.col("set") != F.col("p.set")).where(_possible("n", "p.n", percent))
+    met = met.groupBy(F.col("p.set").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # of all the stars a set is in, the nearest by common signatures and the least: two pairs a set
+    two = met.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("c", "a")), F.min("a"))).alias("a"))
+    star = screened(two.select(F.explode("a").alias("a"), "b"), "star")
     links = checked(star)
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -374,13 +382,17 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     # signatures of one pivot share most of their pairs, so few tasks should say each
     left = left.join(sketches.select("set", "sketch"), "set").withColumn("bin", F.xxhash64("pivot", F.pmod("sig", F.lit(SALTS)))).drop("pivot")
     rest = left.groupBy("bin").applyInArrow(_apart(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    return classes, links.unionByName(checked(_store.written(rest, "rest")))
+    rest = _store.written(rest, "rest")
+    if rest.isEmpty():
+        return classes, links, comp
+    more = checked(rest)
+    # the components so far stand for the links that made them
+    return classes, links.unionByName(more), components(comp.toDF("a", "b").unionByName(more))
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """One row per document: its set's size and the least id of its component."""
-    classes, links = link(docs, width, percent, **options)
-    comp = components(links)
+    classes, _, comp = link(docs, width, percent, **options)
     both = classes.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     both = _store.written(both.select("_d", "n", F.when(F.col("n") > 0, F.col("component")).alias("component")), "placed")
     least = both.where("n > 0").groupBy("component").agg(F.min("_d").alias("least"))
