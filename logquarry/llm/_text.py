@@ -7,6 +7,9 @@ never split.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,11 +31,34 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, 1 << 16)
         inverse = U(pow(int(base), -1, 1 << 64))
         have = tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (base, inverse))
-        if size <= 4 * SLICE_BYTES:
+        if size <= SLICE_BYTES + (1 << 16):
             _powers[int(base)] = have
     return have[0][:n], have[1][:n]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+
+
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine; workers outlive their tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends by releasing what it used."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the whole word."""
     x = x ^ (x >> U(32))

@@ -112,7 +112,7 @@ def _scanner(block):
                 names=[x.split()[0] for x in HITS.split(", ")],
             )
 
-    return run
+    return _text.tidy(run)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     found = hits(docs, benchmark, width, block_bytes)
     if len(found) == 1:
         one = found[0].select("doc_id", "n_words", F.array("starts").alias("starts"), F.array("ends").alias("ends"), F.array("items").alias("items"))
-        return one.mapInArrow(_finish, RESULT)
+        return one.mapInArrow(_text.tidy(_finish), RESULT)
     keys = ["doc_id", "_d", "_t", "n_words"]
     # rows that repeat are numbered within each block alike only by their number, so count and restore them
     each = [f.groupBy(*keys).agg(F.first("starts").alias("s"), F.first("ends").alias("e"), F.first("items").alias("i"), F.count(F.lit(1)).alias("n")) for f in found]
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
         every = every.unionByName(f)
     merged = every.groupBy(*keys).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"), F.collect_list("i").alias("items"), F.max("n").alias("n"))
     again = merged.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "n_words", "starts", "ends", "items")
-    return again.mapInArrow(_finish, RESULT)
+    return again.mapInArrow(_text.tidy(_finish), RESULT)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

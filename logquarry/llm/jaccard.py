@@ -201,7 +201,7 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
                     yield packed(rows)
                 i = j
 
-    return run
+    return _text.tidy(run)
 
 
 def _bucket(bits: int):
@@ -261,7 +261,7 @@ def _shingler(width: int):
                 own = [pack_set(set_of(hashes[a:b], width)) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], names=["set", "shingles"])
 
-    return run
+    return _text.tidy(run)
 
 
 def _checker(percent: int):
@@ -278,7 +278,7 @@ def _checker(percent: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    return run
+    return _text.tidy(run)
 
 
 def _screen(percent: int):
@@ -292,7 +292,7 @@ def _screen(percent: int):
             mask = pa.array(least * (100 + percent) <= (100 - percent) * (n.to_numpy().astype(np.int64) + m.to_numpy()))
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    return run
+    return _text.tidy(run)
 
 
 def _apart(percent: int, step: int = 64):

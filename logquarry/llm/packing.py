@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -125,7 +127,7 @@ def packer(path: str | None, capacity: int, max_piece: int, group: int, end_id:
                     whole = []
         yield flush(whole + dealt(rest))
 
-    return run
+    return _text.tidy(run)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, max_piece: int = 256, group: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -101,7 +101,7 @@ def _discounts(grams: DataFrame) -> DataFrame:
 def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, g, logp): the natural logarithm of the probability of each n-gram's last byte."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    top = _store.written(texts.mapInArrow(_counter, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    top = _store.written(texts.mapInArrow(_text.tidy(_counter), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # how many different bytes come before an n-gram
         tables[k] = tables[k + 1].select("lang", (F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
@@ -192,7 +192,7 @@ def _judge(blob):
             cols = [np.concatenate(c) for c in zip(*base, strict=True)] if base else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(score, pa.float64(), from_pandas=True), *batch.columns[3:]], names=["doc_id", "lang", *(x.split()[0] for x in BASE.split(", ")), "log_perplexity", *batch.schema.names[3:]])
 
-    return run
+    return _text.tidy(run)
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def scores(docs: DataFrame, broadcast_grams: int = 12_000_000) -> DataFrame:
         return own.mapInArrow(_judge(spark.sparkContext.broadcast(pickle.dumps(arrays))), schema)
     marked = own.withColumn("_d", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_t", F.xxhash64("text", "lang"))
     once = marked.dropDuplicates(["_d", "_t"]).select("_d", "_t", "lang", "text")
-    grams = once.mapInArrow(_document_grams, "_d long, _t long, lang string, g long, c long")
+    grams = once.mapInArrow(_text.tidy(_document_grams), "_d long, _t long, lang string, g long, c long")
     summed = grams.join(known, ["lang", "g"]).groupBy("_d", "_t").agg((-F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("joined"))
     base = marked.select("doc_id", "lang", "text", "_d", "_t").mapInArrow(_judge(None), schema + ", _d long, _t long")
     return base.join(summed, ["_d", "_t"], "left").withColumn("log_perplexity", F.col("joined")).drop("_d", "_t", "joined")

@@ -114,7 +114,7 @@ def _anchorer(width: int, gram: int, bits: int):
                 number += 1
                 i = j
 
-    return run
+    return _text.tidy(run)
 
 
 def _bucket(warm: int, hot: int):
@@ -202,7 +202,7 @@ def _contexts(width: int, gram: int, bits: int):
             for k in range(0, len(rows), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows[k : k + (1 << 14)], strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
 
-    return run
+    return _text.tidy(run)
 
 
 def hash_bytes(b: bytes, seed: int) -> int:
@@ -374,7 +374,7 @@ def _remover(with_text: bool):
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())] + [pa.array(kept, pa.binary())] * with_text
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    return run
+    return _text.tidy(run)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket_bytes: int = 8 << 20, warm: int = 4096, hot: int = 65536, with_text: bool = False) -> DataFrame:

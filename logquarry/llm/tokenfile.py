@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _store
+from . import _store, _text
 
 # Ids per word by selector, and their width in bits.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -158,7 +158,7 @@ def _writer(path: str | None, end_id: int):
         if docs:
             yield flush()
 
-    return run
+    return _text.tidy(run)
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shards: int | None = None) -> None:
@@ -190,5 +190,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = shards.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))
     inner = sizes.select("shard", "block", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("inner"))
     places = inner.join(before, "shard").select("shard", "block", (F.col("before") + F.col("inner")).alias("first"))
-    docs = blocks.select("shard", "block", "documents", "sizes", "words").mapInArrow(_reader, "doc_id long, shard long, block long, local long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("shard", "block", "documents", "sizes", "words").mapInArrow(_text.tidy(_reader), "doc_id long, shard long, block long, local long, n_tokens long, ids_crc32 long")
     return docs.join(places, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")

@@ -114,8 +114,7 @@ _encoders: dict[str | None, Encoder] = {}
 
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder: what one task has learnt serves the next."""
-    _text._powers.clear()  # what other operators left in this worker
-    pa.default_memory_pool().release_unused()
+    _text.release()  # what other operators left in this worker
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -129,7 +129,7 @@ def _hasher(width: int, bits: int):
                 number += 1
                 i = j
 
-    return run
+    return _text.tidy(run)
 
 
 def _bucket(table: pa.Table) -> pa.Table:
@@ -229,7 +229,7 @@ def _remover(with_text: bool):
             cols = [batch.column(0), whole(n), whole(removed), pa.array(sha, pa.string())] + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
-    return run
+    return _text.tidy(run)
 
 
 def dedup_windows(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
