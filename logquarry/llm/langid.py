@@ -29,7 +29,11 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, sample_docs: int = 256, dictionary_bytes: int = 96 << 10) -> dict[str, bytes]:
     """A dictionary per language, from a bounded sample of the labelled rows of docs."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, 8192).alias("part"), F.xxhash64("doc_id", "text").alias("h"))
+    labelled = docs.where(F.col("lang").isNotNull())
+    # four times as many as needed, by hash, so the window gets about as many rows at any size
+    share = labelled.groupBy("lang").agg((F.lit(4.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
+    rows = labelled.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")  # one row per language
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", F.substring("text", 1, 8192).alias("part"), "h")
     order = Window.partitionBy("lang").orderBy("h", "part")
     sample = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs).orderBy("lang", "i").collect()  # at most sample_docs a language
     out: dict[str, bytes] = {}
