@@ -7,7 +7,7 @@ earlier start).
 1. Tasks hash blocks of documents.  Within a block only the earliest window of a hash goes
    on; the others are repeats already.  So a passage that a third of all rows hold costs one
    entry a block.  Entries travel packed, by hash range ("bucket"): 7 bytes of the hash and
-   about one byte of place.
+   about one byte of place, with the ids of only the documents they stand in.
 2. Each bucket finds the hashes that several blocks hold and marks all but the earliest.
 3. Marks return to their block, which turns them into word intervals of its documents.
 4. The intervals meet the texts by document, and the words under them go.
@@ -78,6 +78,17 @@ def _untable(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, t, np.concatenate([[0], np.cumsum(np.frombuffer(raw[12 * n :], "<i4"), dtype=np.int64)])
 
 
+def _lean(d: np.ndarray, first: np.ndarray) -> bytes:
+    """What a bucket needs of documents: id and number of the first word."""
+    return zlib.compress(np.diff(d, prepend=0).astype("<i8").tobytes() + np.diff(first, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unlean(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(b)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw[: 8 * n], "<i8")), np.cumsum(np.frombuffer(raw[8 * n :], "<i4"), dtype=np.int64)
+
+
 def _hasher(width: int, bits: int):
     def block(d: np.ndarray, t: np.ndarray, texts: pa.Array):
         hashes, place, sizes, base = [], [], [], 0
@@ -120,8 +131,9 @@ def _hasher(width: int, bits: int):
                 for b in range(1 << bits):
                     own = firsts[order[edge[b] : edge[b + 1]]]
                     if len(own):
-                        rows.append((b, number, 0, _seven(h[own]), pack_places(p[own]), table))
-                if len(repeats):
+                        held = np.unique(np.searchsorted(first, p[own], "right") - 1)
+                        rows.append((b, number, 0, _seven(h[own]), pack_places(p[own]), _lean(d[held], first[held])))
+                if len(d):  # the block's own table travels once
                     rows.append((int(first[-1] + d[0]) % (1 << bits), number, 1, b"", pack_places(repeats), table))
                 for k in range(0, len(rows), 16):
                     cols = list(zip(*rows[k : k + 16], strict=True))
@@ -153,7 +165,7 @@ def _bucket(table: pa.Table) -> pa.Table:
         for k, i in enumerate(real):
             own = by_source[edge[k] : edge[k + 1]]
             if len(own):
-                ids, _, first = _untable(docs[i])
+                ids, first = _unlean(docs[i])
                 o = np.searchsorted(first, p[many[own]], "right") - 1
                 d[own], start[own] = ids[o], p[many[own]] - first[o]
         order = np.lexsort([start, d, h[many]])
@@ -165,11 +177,12 @@ def _bucket(table: pa.Table) -> pa.Table:
         src = source[marked]
         for k in np.unique(src):
             i = real[k]
-            out.setdefault(blocks[i], [np.zeros(0, np.int64), docs[i]])
+            out.setdefault(blocks[i], [np.zeros(0, np.int64), b""])
             out[blocks[i]][0] = np.concatenate([out[blocks[i]][0], p[marked[src == k]]])
     for i, k in enumerate(kind):
         if k == 1:
-            have = out.setdefault(blocks[i], [np.zeros(0, np.int64), docs[i]])
+            have = out.setdefault(blocks[i], [np.zeros(0, np.int64), b""])
+            have[1] = docs[i]
             have[0] = np.concatenate([have[0], unpack_places(places[i])])
     rows = [(b, pack_places(np.unique(m)), t) for b, (m, t) in out.items()]
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "marks": pa.array([r[1] for r in rows], pa.binary()), "documents": pa.array([r[2] for r in rows], pa.binary())})
@@ -177,7 +190,7 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 def _spans(width: int):
     def run(table: pa.Table) -> pa.Table:
-        d, t, first = _untable(table["documents"][0].as_py())
+        d, t, first = _untable(next(x for x in table["documents"].to_pylist() if x))
         marks = np.unique(np.concatenate([unpack_places(x) for x in table["marks"].to_pylist()]))
         apart = np.arange(len(first))  # one place between documents keeps their intervals apart
         marks = marks + np.searchsorted(first, marks, "right") - 1
