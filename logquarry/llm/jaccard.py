@@ -18,8 +18,8 @@ them have an empty one; only such a set also gives its empty ones.
 2. Buckets yield (signature, set) of every signature that several sets have.
 3. Of the least sets of its signatures, each set is checked against the least and the one it
    shares most signatures with (stars, never all pairs); the links found give components.
-   Only pairs of one signature still in different components are then enumerated, once each,
-   and checked.  A check first compares sketches, a lower
+   Only pairs still in different components are then enumerated, once each, and checked: those
+   of a set and any other least set, and those of one signature.  A check first compares sketches, a lower
    bound of the difference that never rejects a link, then counts common shingles exactly.
 4. Sets carry their component back to all documents.
 
@@ -370,10 +370,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
 
     least = members.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
     met = members.join(least, "sig").where(F.col("set") != F.col("p.set")).where(_possible("n", "p.n", percent))
-    met = met.groupBy(F.col("p.set").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    # of all the stars a set is in, the nearest by common signatures and the least: two pairs a set
+    met = _store.written(met.groupBy(F.col("p.set").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("c")), "met")
+    # of all the stars a set is in, first the nearest by common signatures and the least: two pairs a set
     two = met.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("c", "a")), F.min("a"))).alias("a"))
-    star = screened(two.select(F.explode("a").alias("a"), "b"), "star")
+    picked = two.select(F.explode("a").alias("a"), "b")
+    star = screened(picked, "star")
     links = checked(star)
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -381,7 +382,12 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     left = placed.join(open_.select("sig", "pivot"), "sig").where("set <> pivot").select("sig", "pivot", "set", "n", "component")
     # signatures of one pivot share most of their pairs, so few tasks should say each
     left = left.join(sketches.select("set", "sketch"), "set").withColumn("bin", F.xxhash64("pivot", F.pmod("sig", F.lit(SALTS)))).drop("pivot")
-    rest = left.groupBy("bin").applyInArrow(_apart(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    apart = left.groupBy("bin").applyInArrow(_apart(percent), "a long, b long")
+    # the other stars, those of two-set signatures included, where the first two did not join their ends
+    other = met.join(picked, ["a", "b"], "left_anti").select("a", "b")
+    other = other.join(comp.toDF("b", "y"), "b", "left").where("a <> coalesce(y, b)")
+    other = other.join(comp.toDF("a", "x"), "a", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+    rest = apart.union(screened(other, "other")).distinct().join(star, ["a", "b"], "left_anti")
     rest = _store.written(rest, "rest")
     if rest.isEmpty():
         return classes, links, comp

@@ -164,6 +164,22 @@ def test_jaccard_finds_every_near_pair(spark):
     assert rows(jaccard.similar(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs))
 
 
+def test_jaccard_short_stars_and_chains(spark):
+    """Short texts linked to several that are not linked among themselves, and chains: each link counts."""
+    rng = np.random.default_rng(1)
+    word = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    texts = []
+    for _ in range(40):
+        size = int(rng.integers(12, 60))
+        hub, path = word(size), word(3 * size)
+        more = max(1, (size - 4) // 18)
+        texts += [hub] + [word(more) + hub if k % 2 else hub + word(more) for k in range(6)]
+        texts += [path[k : k + size] for k in range(0, 2 * size, max(1, (size - 4) // 10))]
+    docs = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard.similar(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs))
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)]
     got = dict(rows(components(spark.createDataFrame(path, "a long, b long")), "node", "component"))
