@@ -1,8 +1,8 @@
 """Quality rules: base counts, and perplexity under a modified Kneser-Ney n-gram model.
 
 The model is over the bytes of the texts (white space as one kind of byte), of order five,
-one per language.  All n-grams of the corpus are counted in Spark: tasks send one row per
-distinct n-gram, and the lower orders, discounts and interpolated probabilities follow by
+one per language.  All n-grams of the distinct texts of a language are counted in Spark (a
+group of copies would else teach the model its own text): tasks send one row per distinct n-gram, and the lower orders, discounts and interpolated probabilities follow by
 aggregation and joins.  N-grams of the highest order seen once keep no mass of their own
 (they come from the very document that is judged).  The probabilities are held as arrays
 sorted by n-gram code; those are broadcast if there are at most `broadcast_grams`, and
@@ -10,7 +10,8 @@ beyond that the documents' n-grams are joined with them.
 
 A document's perplexity is judged against bands of its language: the median plus and minus
 `spread` times the distance of the outer deciles from it, so a band follows the language and
-the bulk of each language stays inside.
+the bulk of each language stays inside.  Both are taken over the distinct texts of a language,
+so a group of copies weighs as one.
 
 Null texts have no words and fail the base rule.  A null language is a language of its own.
 Rows that repeat are judged each.  An empty table yields no rows.
@@ -100,7 +101,7 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, g, logp): the natural logarithm of the probability of each n-gram's last byte."""
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")).distinct()
     top = _store.written(texts.mapInArrow(_text.tidy(_counter), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # how many different bytes come before an n-gram
@@ -207,11 +208,11 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def scores(docs: DataFrame, broadcast_grams: int = 12_000_000) -> DataFrame:
-    """doc_id, lang, the base counts and log_perplexity (per byte; null without text) of each row."""
+    """doc_id, lang, the base counts, log_perplexity (per byte; null without text) and _text, a hash of the text, of each row."""
     spark = docs.sparkSession
     known = _store.written(model(docs), "model")
-    schema = f"doc_id long, lang string, {BASE}, log_perplexity double"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = f"doc_id long, lang string, {BASE}, log_perplexity double, _text long"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
     if known.count() <= broadcast_grams:
         table = known.orderBy("lang", "g").toArrow()
         langs = table["lang"].to_numpy()
@@ -223,7 +224,7 @@ def scores(docs: DataFrame, broadcast_grams: int = 12_000_000) -> DataFrame:
     once = marked.dropDuplicates(["_d", "_t"]).select("_d", "_t", "lang", "text")
     grams = once.mapInArrow(_text.tidy(_document_grams), "_d long, _t long, lang string, g long, c long")
     summed = grams.join(known, ["lang", "g"]).groupBy("_d", "_t").agg((-F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("joined"))
-    base = marked.select("doc_id", "lang", "text", "_d", "_t").mapInArrow(_judge(None), schema + ", _d long, _t long")
+    base = marked.select("doc_id", "lang", "text", "_text", "_d", "_t").mapInArrow(_judge(None), schema + ", _d long, _t long")
     return base.join(summed, ["_d", "_t"], "left").withColumn("log_perplexity", F.col("joined")).drop("_d", "_t", "joined")
 
 
@@ -233,7 +234,9 @@ def judge(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_00
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
-    bands = found.where(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
+    # copies of a text have one vote; tasks merge theirs before the shuffle
+    texts = found.where(~F.col("base_failed")).groupBy("lang", "_text").agg(F.min("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("lang").agg(q.alias("q"))
     bands = bands.select("lang", (F.col("q")[1] - spread * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[1])).alias("upper"))
     both = found.join(F.broadcast(bands), "lang", "left")  # one row per language
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))

@@ -75,6 +75,20 @@ def test_quality_paths_agree_and_keep_most(documents):
     assert sum(x[1] for x in a) > 0.7 * len(a)
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_grams": 0}])
+def test_quality_copies_have_one_vote(spark, options):
+    rng = np.random.default_rng(2)
+    words = lambda n: ["".join(chr(x) for x in rng.integers(97, 123, 6)) for _ in range(n)]
+    common = words(300)
+    own = [(i, " ".join(rng.choice(common, 120)), "de") for i in range(100)]
+    junk = [(50_000 + i, " ".join(words(80)), "de") for i in range(5)]
+    copies = [(10_000 + i, own[0][1], "de") for i in range(700)]
+    df = spark.createDataFrame(own + copies + junk, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality.judge(df, **options).collect()}
+    assert not any(found[d]["base_failed"] or found[d]["kept"] for d, _, _ in junk)
+    assert all(found[d]["kept"] for d, _, _ in own + copies)  # copies are not junk either
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([(i, "abab abba baab abab bbaa" * (1 + i), "x") for i in range(4)], "doc_id long, text string, lang string")
     found = quality.model(docs, order=5).toPandas()
