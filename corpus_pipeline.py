@@ -43,7 +43,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: A language model and token ids are beyond SQL; the tests compare with a brute-force version.
+#: A language model and token ids are beyond SQL; the tests compare the operators, not run() or its stages.
 ORACLE_SQL = None
 
 
