@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []
+
+
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (a local test) a temporary folder."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="logquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="logquarry-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,12 +44,27 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def private(docs: DataFrame, n: int) -> list[str]:
+    """n column names that docs does not have, whatever the case."""
+    taken, out, i = {c.lower() for c in docs.columns}, [], 0
+    while len(out) < n:
+        if f"_p{i}" not in taken:
+            out.append(f"_p{i}")
+        i += 1
+    return out
+
+
+def key_of(doc_id: str) -> Column:
+    """The id as a join key: null is the smallest."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text with a join key per distinct row: _d (id, null as the smallest) and _t (text hash)."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"),
+        key_of("doc_id").alias("_d"),
     ).withColumn("_t", F.xxhash64("text"))
 
 

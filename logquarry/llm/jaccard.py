@@ -13,19 +13,28 @@ parts.  Linked sets of a band share a non-empty signature unless m or more rows
 them have an empty one; only such a set also gives its empty ones.
 
 1. Tasks work in blocks: equal sets are one, signatures travel packed to the bucket of their
-   hash.  A signature that `local_hot` or more sets of a block have is sent on as plain rows
-   that spread over all tasks, with one entry to its bucket.
+   hash, about 4 bytes each and 8 for the set.  A signature that `local_hot` or more sets of a
+   block have is sent on as plain rows that spread over all tasks, with one entry to its bucket.
+   A block sends at most one packet to a bucket and none without an entry, so what travels
+   follows the signatures, however many buckets there are.
 2. Buckets yield (signature, set) of every signature that several sets have.
-3. Of the least sets of its signatures, each set is checked against the least and the one it
-   shares most signatures with (stars, never all pairs); the links found give components.
-   Only pairs still in different components are then enumerated, once each, and checked: those
-   of a set and any other least set, and those of one signature.  A check first compares sketches, a lower
-   bound of the difference that never rejects a link, then counts common shingles exactly.
-4. Sets carry their component back to all documents.
-
-Without words, or with a null text, a set is empty and links with nothing.  Rows that repeat
-have equal sets and so one component.  A null id is the smallest, and shows as null.  An
-empty table yields no rows.
+3. Every signature pairs its least set with each other one (stars, never all pairs).  Sketches,
+   a lower bound of the difference that never rejects a link, screen all stars.  Of each set,
+   the star with most common signatures is checked first; then all others whose ends are still
+   in different components.  A check counts common shingles exactly.
+4. What is left are pairs of one signature without its least set and in different components.
+   They never become rows: a task that holds a signature's sets screens them by size and
+   sketch and names the sets that have a possible partner; with those sets' shingles it then
+   checks them, skips pairs that its links have joined by then, and yields the links of a
+   spanning forest.  That screening is the one step whose work grows with the square of the
+   sets that share a signature and lie in different components.
+5. Sets carry their component back to all documents.
+
+Sets and shingles are compared by 64 and 48 bits of hashes: with n different sets, two are
+mistaken for one with odds of about n * n / 2**65.  Without words, or with a null text, a set
+is empty and links with nothing.  Rows that repeat have equal sets and so one component.  A
+null id is the smallest, and shows as null.  An empty table yields no rows.  Very long texts
+are one set like any other; a text must fit a worker, with some twenty times its size.
 """
 
 from __future__ import annotations
@@ -35,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store, _text
@@ -46,34 +55,56 @@ U = np.uint64
 WIDTH, PERCENT = 5, 80
 PACKED = "bucket long, kind int, entries binary, places binary, sets binary"
 FOUND = "kind int, sig long, set long, n int, _d long, _t long, sketch binary"
+LOW = 24
 BINS = 256
 #: Up to so large a difference a single row of parts serves.
 FEW = 6
-#: Tasks over which the signatures of one pivot spread.
-SALTS = 8
+#: (signature, set) rows of one pivot that a task takes together.
+BIN_ROWS = 20_000
 #: Sets whose rows (24 bytes each) may be broadcast to find their texts; more are found by a shuffled join.
 BROADCAST_SETS = 1_000_000
 NONE = -(2**63)
 
 
-def set_of(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a document's word hashes."""
-    if not len(hashes):
-        return np.zeros(0, U)
-    n = min(width, len(hashes))
-    _, h = _text.windows(hashes, np.array([0, len(hashes)]), n)
-    return np.unique(h ^ U(n if n < width else 0))
-
-
-def set_id(shingles: np.ndarray) -> int:
-    """One number for a set; equal sets have equal ones."""
-    total = (int(shingles.sum(dtype=U)) + len(shingles) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
-    return int(_text.mix(np.array([total], U)).view(np.int64)[0])
-
-
-def sketch(shingles: np.ndarray) -> bytes:
+def sets_of(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all documents of a slice, by document and ascending, and where each one's start."""
+    data = _text.LOWER[data]
+    start, end, first = _text.words(data, at, _text.SPACE_SEPARATED)
+    hashes, counts = _text.word_hashes(data, start, end), np.diff(first)
+    docs, keys = [], []
+    for n in range(1, width + 1):  # of fewer words than that, all are one shingle
+        own = counts >= n if n == width else counts == n
+        if own.any():
+            place, h = _text.windows(hashes, first, n)
+            doc = np.searchsorted(first, place, "right") - 1
+            docs.append(doc[own[doc]])
+            keys.append(h[own[doc]] ^ U(n if n < width else 0))
+    if not docs:
+        return np.zeros(0, U), np.zeros(len(at), np.int64)
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    order = np.lexsort([key, doc])
+    doc, key = doc[order], key[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    return key[new], np.searchsorted(doc[new], np.arange(len(at)))
+
+
+def set_ids(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each set; equal sets have equal ones."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(keys, dtype=U)])
+    return _text.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def picked(keys: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the given numbers, one after another, and where each starts."""
+    n = at[which + 1] - at[which]
+    edge = np.concatenate([[0], np.cumsum(n)])
+    return keys[np.arange(edge[-1]) + np.repeat(at[which] - edge[:-1], n)], edge
+
+
+def sketches_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Shingles per hash bin, at most 255.  Two sets differ at least by what their sketches do."""
-    return np.minimum(np.bincount((_text.mix(shingles.copy()) >> U(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    place = np.repeat(np.arange(len(at) - 1), np.diff(at)) * BINS + (_text.mix(keys) >> U(56)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=(len(at) - 1) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
 
 def pack_set(shingles: np.ndarray) -> bytes:
@@ -89,8 +120,8 @@ def unpack_set(b) -> np.ndarray:
 
 
 def short(sig: np.ndarray, bits: int) -> np.ndarray:
-    """A signature as buckets know it: its bucket and 32 bits more.  A chance meeting costs a check."""
-    return (sig >> U(64 - bits)) << U(32) | sig & U(0xFFFFFFFF)
+    """A signature as buckets know it: its bucket and LOW bits more.  A chance meeting costs a check."""
+    return (sig >> U(64 - bits)) << U(LOW) | sig & U((1 << LOW) - 1)
 
 
 def bands(largest: int) -> list[int]:
@@ -100,17 +131,16 @@ def bands(largest: int) -> list[int]:
     return out
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of a set, with the band and row mixed in."""
-    s = len(shingles)
-    if not s:
-        return np.zeros(0, U)
-    spread = _text.mix(shingles.copy())
-    low, high = (spread & U(0xFFFFFFFF)).astype(np.float64), (spread >> U(32)).astype(np.float64)
-    out = []
-    for r in (r for r in bands(s) if percent * s <= 100 * r):  # its own band and those it is a guest of
-        k = int((100 - percent) * (r + r * 100 / percent) / (100 + percent) + 1e-9)
-        if k == 0:
+def signatures(keys: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets, with the band and row mixed in, and the set of each."""
+    sizes = np.diff(at)
+    limits = np.array(bands(int(sizes.max(initial=0))), np.int64)
+    spread = _text.mix(keys)
+    own, who, out = np.searchsorted(limits, sizes, "left"), [], []
+    for r in range(len(limits)):
+        which = np.flatnonzero((own >= r) & (sizes > 0) & (percent * sizes <= 100 * limits[r]))  # its own, or it is a guest
+        k = int((100 - percent) * (limits[r] + limits[r] * 100 / percent) / (100 + percent) + 1e-9)
+        if k == 0 or not len(which):
             continue  # only equal sets, and those are one already
         if k <= FEW:
             n1, n2, m = 1, k + 2, 1
@@ -118,16 +148,22 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             m = 1 + k // 24
             n1, n2 = k // 3 + m, 4
         size = n1 * n2
-        part = ((spread >> U(8)) % U(size)).astype(np.int64)
-        held = np.bincount(part, minlength=size).reshape(n1, n2)
-        sums = (np.bincount(part, low, size).astype(U) + (np.bincount(part, high, size).astype(U) << U(32))).reshape(n1, n2)
         i, j = np.triu_indices(n2, 1)
-        content = sums[:, i] + sums[:, j]
-        empty = held[:, i] + held[:, j] == 0
-        name = np.arange(content.size, dtype=U).reshape(content.shape) + U(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        sig = _text.mix(content ^ _text.mix(name))
-        out.append(sig[~empty] if empty.any(axis=1).sum() < m else sig.ravel())
-    return np.concatenate(out) if out else np.zeros(0, U)
+        name = np.arange(n1 * len(i), dtype=U).reshape(n1, -1) + U(int(limits[r]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        name = _text.mix(name)
+        for x in range(0, len(which), max(1, (1 << 18) // size)):
+            some = which[x : x + max(1, (1 << 18) // size)]
+            own_spread, edge = picked(spread, at, some)
+            part = np.repeat(np.arange(len(some)) * size, np.diff(edge)) + ((own_spread >> U(8)) % U(size)).astype(np.int64)
+            held, low, high = (np.bincount(part, w, len(some) * size) for w in (None, own_spread & U(0xFFFFFFFF), own_spread >> U(32)))
+            held = held.reshape(-1, n1, n2)
+            sums = (low.astype(U) + (high.astype(U) << U(32))).reshape(-1, n1, n2)
+            empty = held[:, :, i] + held[:, :, j] == 0
+            sig = _text.mix((sums[:, :, i] + sums[:, :, j]) ^ name)
+            keep = ~empty | (empty.any(axis=2).sum(axis=1) >= m)[:, None, None]
+            out.append(sig[keep])
+            who.append(np.repeat(some, keep.sum(axis=(1, 2))))
+    return (np.concatenate(out), np.concatenate(who)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def _signer(width: int, percent: int, bits: int, local_hot: int):
@@ -137,28 +173,28 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
             return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 3], strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
         def block(d, t, texts):
-            ids, sizes, known, sigs, sketches = [], [], {}, [], []
+            ids, sizes, known, sigs, owners, sketches = [], [], {}, [], [], []
             for _, data, at in _text.slices(texts):
-                data = _text.LOWER[data]
-                start, end, first = _text.words(data, at, _text.SPACE_SEPARATED)
-                hashes = _text.word_hashes(data, start, end)
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    shingles = set_of(hashes[a:b], width)
-                    i = set_id(shingles)
-                    ids.append(i), sizes.append(len(shingles))
-                    if len(shingles) and i not in known:
-                        known[i] = (len(known), len(shingles))
-                        sigs.append(signatures(shingles, percent))
-                        sketches.append(sketch(shingles))
+                keys, edge = sets_of(data, at, width)
+                own, size = set_ids(keys, edge), np.diff(edge)
+                ids.append(own), sizes.append(size)
+                fresh = [i for i, x in enumerate(own.tolist()) if size[i] and x not in known and known.setdefault(x, (len(known), int(size[i])))]
+                if fresh:
+                    place = np.array([known[x][0] for x in own[fresh].tolist()])
+                    keys, edge = picked(keys, edge, np.array(fresh))
+                    sig, who = signatures(keys, edge, percent)
+                    sigs.append(sig), owners.append(place[who]), sketches.append(sketches_of(keys, edge))
             table = np.array([[i, n] for i, (_, n) in known.items()], "<i8").reshape(-1, 2)
-            yield (abs(hash((int(d[0]), len(d)))) % (1 << bits), 2, np.array(ids, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), d.astype("<i8").tobytes() + t.astype("<i8").tobytes())
+            yield (abs(hash((int(d[0]), len(d)))) % (1 << bits), 2, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(sizes).astype("<i8").tobytes(), d.astype("<i8").tobytes() + t.astype("<i8").tobytes())
             if not sigs:
                 return
+            sketches = np.concatenate(sketches)
             for i in range(0, len(table), 256):
-                yield (abs(hash((int(d[0]), i))) % (1 << bits), 3, zlib.compress(b"".join(sketches[i : i + 256]), 1), b"", table[i : i + 256].tobytes())
-            who = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
-            sig = np.concatenate(sigs)
-            order = np.argsort(sig, kind="stable")
+                yield (abs(hash((int(d[0]), i))) % (1 << bits), 3, zlib.compress(sketches[i : i + 256].tobytes(), 1), b"", table[i : i + 256].tobytes())
+            names = np.ascontiguousarray(table[:, 0])
+            who, sig = np.concatenate(owners), np.concatenate(sigs)
+            del sigs, owners, sketches
+            order = np.argsort(sig)
             s = sig[order]
             new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
             reps = np.diff(np.append(new, len(s)))
@@ -167,24 +203,21 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
                 own = order[hot]
                 for i in range(0, len(own), 1 << 14):
                     x = own[i : i + (1 << 14)]
-                    yield (int(sig[x[-1]] & U(0x7FFFFFFF)) + int(d[0]) & (1 << bits) - 1, 1, short(sig[x], bits).astype("<u8").tobytes(), b"", table[who[x]].tobytes())
+                    yield (int(sig[x[-1]] & U(0x7FFFFFFF)) + int(d[0]) & (1 << bits) - 1, 1, short(sig[x], bits).astype("<u8").tobytes(), b"", names[who[x]].tobytes())
                 first = np.zeros(len(s), bool)
                 first[new] = True
                 order = order[~hot | first]
                 hot = hot[~hot | first]
-            flagged = np.zeros(len(sig), bool)
-            flagged[order[hot]] = True
             top = (sig[order] >> U(64 - bits)).astype(np.int64)
-            order = order[np.lexsort([who[order], top])]
-            edge = np.searchsorted((sig[order] >> U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-            for b in range(1 << bits):
-                own = order[edge[b] : edge[b + 1]]
-                if len(own):
-                    # places: twice the set's number, plus one where the signature is hot here
-                    place = np.sort(2 * who[own] + flagged[own])
-                    own = own[np.argsort(2 * who[own] + flagged[own], kind="stable")]
-                    sets, place2 = np.unique(place >> 1, return_inverse=True)
-                    yield (b, 0, sig[own].astype("<u4").tobytes(), pack_places(2 * place2 + (place & 1)), table[sets].tobytes())
+            edge = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]])) if len(top) else np.zeros(1, int)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                # places: twice the set's number, plus one where the signature is hot here
+                place = 2 * who[order[a:b]] + hot[a:b]
+                by = np.argsort(place, kind="stable")
+                place = place[by]
+                sets, place2 = np.unique(place >> 1, return_inverse=True)
+                low = sig[order[a:b][by]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
+                yield (int(top[a]), 0, np.ascontiguousarray(low).tobytes(), pack_places(2 * place2 + (place & 1)), names[sets].tobytes())
 
         for batch in batches:
             _, at = _text.utf8(batch.column(2))
@@ -217,15 +250,18 @@ def _bucket(bits: int):
 
         real = [i for i, k in enumerate(kind) if k == 0]
         if real:
-            sig = np.concatenate([np.frombuffer(entries[i], "<u4") for i in real]).astype(U) | U(bucket) << U(32)
-            pair, hot = [], []
+            low = np.frombuffer(b"".join([entries[i] for i in real]), np.uint8).reshape(-1, LOW // 8)
+            sig = np.full(len(low), U(bucket) << U(LOW), U)
+            for i in range(LOW // 8):
+                sig |= low[:, i].astype(U) << U(8 * i)
+            who, hot = [], []
             for i in real:
-                place, own = unpack_places(places[i]), np.frombuffer(sets[i], "<i8").reshape(-1, 2)
-                pair.append(own[place >> 1]), hot.append(place & 1)
-            pair, hot = np.concatenate(pair), np.concatenate(hot).astype(bool)
-            order = np.lexsort([pair[:, 0], sig])
-            s, p, h = sig[order], pair[order], hot[order]
-            once = np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:, 0] != p[:-1, 0])])
+                place = unpack_places(places[i])
+                who.append(np.frombuffer(sets[i], "<i8")[place >> 1]), hot.append(place & 1)
+            who, hot = np.concatenate(who), np.concatenate(hot).astype(bool)
+            order = np.lexsort([who, sig])
+            s, p, h = sig[order], who[order], hot[order]
+            once = np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
             lead = np.flatnonzero(once)
             h = np.add.reduceat(h, lead) > 0
             s, p = s[once], p[once]
@@ -233,12 +269,11 @@ def _bucket(bits: int):
             many = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
             keep = many | h  # a hot one may have its partners among the plain rows
             s, p = s[keep], p[keep]
-            add(0, s.view(np.int64), p[:, 0], p[:, 1])
+            add(0, s.view(np.int64), p, np.zeros(len(p), int))
         for i, k in enumerate(kind):
             if k == 1:
-                p = np.frombuffer(sets[i], "<i8").reshape(-1, 2)
-                s = np.frombuffer(entries[i], "<u8")
-                add(0, s.view(np.int64), p[:, 0], p[:, 1])
+                p = np.frombuffer(sets[i], "<i8")
+                add(0, np.frombuffer(entries[i], "<u8").view(np.int64), p, np.zeros(len(p), int))
             elif k == 2:
                 ids, n = np.frombuffer(entries[i], "<i8"), np.frombuffer(places[i], "<i8")
                 d, t = np.split(np.frombuffer(sets[i], "<i8"), 2)
@@ -255,26 +290,28 @@ def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data, at in _text.slices(batch.column(1)):
-                data = _text.LOWER[data]
-                start, end, first = _text.words(data, at, _text.SPACE_SEPARATED)
-                hashes = _text.word_hashes(data, start, end)
-                own = [pack_set(set_of(hashes[a:b], width)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                keys, edge = sets_of(data, at, width)
+                own = [pack_set(keys[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], names=["set", "shingles"])
 
     return _text.tidy(run)
 
 
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two non-empty sets of ascending numbers have enough in common."""
+    if len(u) > len(v):
+        u, v = v, u
+    common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
+
+
 def _checker(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = batch.columns
             keep = []
             for p, q in zip(x, y, strict=True):
-                u, v = unpack_set(p.as_buffer()), unpack_set(q.as_buffer())
-                if len(u) > len(v):
-                    u, v = v, u
-                common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
+                keep.append(linked(unpack_set(p.as_buffer()), unpack_set(q.as_buffer()), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
@@ -286,121 +323,187 @@ def _screen(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, m, x, y = batch.columns
+            a, b, c, n, m, x, y = batch.columns
             u, v = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (x, y))
             least = np.abs(u - v).sum(axis=1)
             mask = pa.array(least * (100 + percent) <= (100 - percent) * (n.to_numpy().astype(np.int64) + m.to_numpy()))
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), c.filter(mask)], names=["a", "b", "c"])
 
     return _text.tidy(run)
 
 
-def _apart(percent: int, step: int = 64):
-    """Pairs of one signature in different components whose sizes and sketches allow a link.
-
-    Sets stand by size, so each meets only those of sizes it could link with.  The largest
-    component's own sets never meet; a pair that the sketches rule out is never made a row."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sig, ids, n, comp = (table[c].to_numpy() for c in ("sig", "set", "n", "component"))
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        order = np.lexsort([ids, n, sig])
-        sig, ids, n, comp, sketches = sig[order], ids[order], n[order].astype(np.int64), comp[order], sketches[order]
-        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else [0]
-        found = set()
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            names, counts = np.unique(comp[x:y], return_counts=True)
-            if len(names) < 2:
-                continue
-            main = comp == names[np.argmax(counts)]
-            others = np.flatnonzero(~main[x:y]) + x
-            for i in range(0, len(others), step):
-                rows = others[i : i + step]
-                first = int(np.searchsorted(n[x:y], -(-percent * n[rows[0]] // 100), "left")) + x
-                last = int(np.searchsorted(n[x:y], 100 * n[rows[-1]] // percent, "right")) + x
-                for j in range(first, last, 1024):
-                    cols = np.arange(j, min(j + 1024, last))
-                    cols = cols[main[cols] | (cols > rows[0])]
-                    near = np.abs(sketches[rows, None, :].astype(np.int16) - sketches[None, cols, :]).sum(axis=2) * (100 + percent) <= (100 - percent) * (n[rows, None] + n[None, cols])
-                    near &= (comp[rows, None] != comp[None, cols]) & (main[None, cols] | (rows[:, None] < cols[None, :]))
-                    p, q = np.nonzero(near)
-                    u, v = ids[rows[p]], ids[cols[q]]
-                    found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def possible_pairs(n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, groups: Iterator[np.ndarray], percent: int, step: int = 64):
+    """(numbers, numbers) of the pairs of a group that stand in different components and whose sizes and sketches allow a link.
+
+    n ascends; a group lists numbers in ascending order, so each set meets only those of sizes it
+    could link with.  The group's largest component's own sets never meet."""
+    for own in groups:
+        names, counts = np.unique(comp[own], return_counts=True)
+        if len(names) < 2:
+            continue
+        main = comp[own] == names[np.argmax(counts)]
+        others, size = np.flatnonzero(~main), n[own]
+        for i in range(0, len(others), step):
+            rows = others[i : i + step]
+            first = int(np.searchsorted(size, -(-percent * size[rows[0]] // 100), "left"))
+            last = int(np.searchsorted(size, 100 * size[rows[-1]] // percent, "right"))
+            for j in range(first, last, 1024):
+                cols = np.arange(j, min(j + 1024, last))
+                cols = cols[main[cols] | (cols > rows[0])]
+                u, v = own[rows], own[cols]
+                near = (comp[u, None] != comp[None, v]) & (main[None, cols] | (rows[:, None] < cols[None, :]))
+                p, q = np.nonzero(near)
+                for x in range(0, len(p), 1 << 14):
+                    a, b = u[p[x : x + (1 << 14)]], v[q[x : x + (1 << 14)]]
+                    least = np.abs(sketches[a].astype(np.int16) - sketches[b]).sum(axis=1)
+                    ok = least * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+                    if ok.any():
+                        yield a[ok], b[ok]
+
+
+def _members(left: pa.Table, info: pa.Table):
+    """A bin's sets by size, and the groups (of numbers of sets) that share a signature, each once."""
+    n, ids, comp = (info[c].to_numpy() for c in ("n", "set", "component"))
+    by = np.lexsort([ids, n])
+    n, ids, comp = n[by].astype(np.int64), ids[by], comp[by]
+    sketches = np.frombuffer(b"".join(info["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[by]
+    order = np.argsort(ids)
+    number = order[np.searchsorted(ids[order], left["set"].to_numpy())]
+    sig = left["sig"].to_numpy()
+    order = np.lexsort([number, sig])
+    sig, number = sig[order], number[order]
+    edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, int)
+    if (np.diff(edge).astype(float) ** 2).sum() > float(len(ids)) ** 2:
+        groups = [np.arange(len(ids))]  # cheaper, and all pairs of the signatures are among them
+    else:
+        groups = [np.frombuffer(x, np.int64) for x in {number[a:b].tobytes(): 0 for a, b in zip(edge[:-1], edge[1:], strict=True)}]
+    return by, n, ids, comp, sketches, groups
+
+
+def _possible(percent: int):
+    """The sets of a bin that have a possible partner in it."""
+
+    def run(left: pa.Table, info: pa.Table) -> pa.Table:
+        if not len(left) or not len(info):
+            return pa.table({"bin": pa.array([], pa.int64()), "set": pa.array([], pa.int64())})
+        _, n, ids, comp, sketches, groups = _members(left, info)
+        found = np.zeros(len(ids), bool)
+        for a, b in possible_pairs(n, comp, sketches, groups, percent):
+            found[a] = found[b] = True
+        return pa.table({"bin": pa.array(np.full(int(found.sum()), left["bin"][0].as_py()), pa.int64()), "set": pa.array(ids[found])})
 
     return run
 
 
-def _possible(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _forest(percent: int):
+    """Links between the components of a bin, none that its others imply."""
+
+    def run(left: pa.Table, info: pa.Table) -> pa.Table:
+        links = []
+        if len(left) and len(info):
+            by, n, ids, comp, sketches, groups = _members(left, info)
+            shingles = info["shingles"].combine_chunks() if isinstance(info["shingles"], pa.ChunkedArray) else info["shingles"]
+            _, label = np.unique(comp, return_inverse=True)
+            open_: dict[int, np.ndarray] = {}
+
+            def shingles_of(i: int) -> np.ndarray:
+                if len(open_) > 4096:
+                    open_.clear()
+                if i not in open_:
+                    open_[i] = unpack_set(shingles[int(by[i])].as_buffer())
+                return open_[i]
+
+            for p, q in possible_pairs(n, comp, sketches, groups, percent):
+                while len(p):
+                    apart = label[p] != label[q]
+                    p, q = p[apart], q[apart]
+                    for i, (a, b) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                        if linked(shingles_of(a), shingles_of(b), percent):
+                            links.append((int(ids[a]), int(ids[b])))
+                            label[label == label[b]] = label[a]
+                            p, q = p[i + 1 :], q[i + 1 :]
+                            break
+                    else:
+                        break
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])})
+
+    return run
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = 8 << 20, local_hot: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, links, components): one row (_d, _t, set, n) per document, the linked pairs
-    (a, b) of different sets that connect every component, and (node, component) of those sets."""
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_bytes: int = 8 << 20, local_hot: int = 8, bin_rows: int = BIN_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, components): one row (_d, _t, set, n) per document, linked pairs (a, b) of
+    different sets that connect every component, and (node, component) of those sets."""
     own = _store.keyed(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(1.5 * size / bucket_bytes).bit_length())
     packed = own.select("_d", "_t", "text").mapInArrow(_signer(width, percent, bits, local_hot), PACKED)
     found = _store.written(packed.groupBy("bucket").applyInArrow(_bucket(bits), FOUND), "found")
     classes = found.where("kind = 2").select("_d", "_t", "set", "n")
-    members = found.where("kind = 0").select("sig", "set", "n").distinct()
+    members = _store.written(found.where("kind = 0").select("sig", "set").distinct(), "members")
+    sets = _store.written(found.where("kind = 3").select("set", "n", "sketch").dropDuplicates(["set"]), "sets")
 
-    sketches = found.where("kind = 3").select("set", "n", "sketch").dropDuplicates(["set"])
-
-    def screened(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (a, b) those whose sketches allow a link."""
-        x = sketches.select(F.col("set").alias("a"), "n", F.col("sketch").alias("x"))
-        y = sketches.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y")
-        return _store.written(both.mapInArrow(_screen(percent), "a long, b long"), name)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Of pairs those that link, by their texts' shingles."""
-        needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        places = _store.written(classes.groupBy("set").agg(F.min(F.struct("_d", "_t")).alias("r")).join(needed, "set", "left_semi").select("set", "r._d", "r._t"), "needed")
+    def shingled(needed: DataFrame) -> DataFrame:
+        """(set, shingles) of the sets needed, from one of their texts."""
+        places = _store.written(classes.join(needed.distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("_d", "_t")).alias("r")).select("set", "r._d", "r._t"), "needed")
         small = places.count() <= BROADCAST_SETS
         texts = own.select("_d", "_t", "text").join(F.broadcast(places) if small else places, ["_d", "_t"]).select("set", "text")
-        shingles = _store.written(texts.mapInArrow(_shingler(width), "set long, shingles binary").dropDuplicates(["set"]), "shingles")
+        return _store.written(texts.mapInArrow(_shingler(width), "set long, shingles binary").dropDuplicates(["set"]), "shingles")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that link, by their texts' shingles."""
+        shingles = shingled(pairs.select(F.col("a").alias("set")).union(pairs.select("b")))
         x = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
         y = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return _store.written(both.mapInArrow(_checker(percent), "a long, b long"), "links")
 
-    least = members.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = members.join(least, "sig").where(F.col("set") != F.col("p.set")).where(_possible("n", "p.n", percent))
-    met = _store.written(met.groupBy(F.col("p.set").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("c")), "met")
-    # of all the stars a set is in, first the nearest by common signatures and the least: two pairs a set
-    two = met.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("c", "a")), F.min("a"))).alias("a"))
-    picked = two.select(F.explode("a").alias("a"), "b")
-    star = screened(picked, "star")
+    least = members.groupBy("sig").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = members.withColumnRenamed("set", "b").join(least.select("sig", "a"), "sig").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    met = met.join(sets.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    met = met.join(sets.select(F.col("set").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "c", "n", "m", "x", "y")
+    met = _store.written(met.mapInArrow(_screen(percent), "a long, b long, c long"), "met")
+    star = met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     links = checked(star)
     comp = components(links)
+
+    # the other stars whose ends are still apart
+    other = met.join(star, ["a", "b"], "left_anti").select("a", "b")
+    other = other.join(comp.toDF("b", "y"), "b", "left").join(comp.toDF("a", "x"), "a", "left")
+    other = _store.written(other.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"), "other")
+    if not other.isEmpty():
+        links = links.unionByName(checked(other))
+        comp = components(links)
+
+    # the pairs of a signature without its least set, in bins of about bin_rows rows
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("set").alias("pivot"), F.count(F.lit(1)).alias("many")).where("x <> y and many > 2")
-    left = placed.join(open_.select("sig", "pivot"), "sig").where("set <> pivot").select("sig", "pivot", "set", "n", "component")
-    # signatures of one pivot share most of their pairs, so few tasks should say each
-    left = left.join(sketches.select("set", "sketch"), "set").withColumn("bin", F.xxhash64("pivot", F.pmod("sig", F.lit(SALTS)))).drop("pivot")
-    apart = left.groupBy("bin").applyInArrow(_apart(percent), "a long, b long")
-    # the other stars, those of two-set signatures included, where the first two did not join their ends
-    other = met.join(picked, ["a", "b"], "left_anti").select("a", "b")
-    other = other.join(comp.toDF("b", "y"), "b", "left").where("a <> coalesce(y, b)")
-    other = other.join(comp.toDF("a", "x"), "a", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-    rest = apart.union(screened(other, "other")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = _store.written(rest, "rest")
-    if rest.isEmpty():
+    many = open_.groupBy("pivot").agg(F.ceil(F.sum("many") / bin_rows).alias("salts"))
+    bins = open_.join(many, "pivot").select("sig", "pivot", F.xxhash64("pivot", F.pmod("sig", "salts")).alias("bin"))
+    left = _store.written(placed.join(bins, "sig").where("set <> pivot").select("bin", "sig", "set", "component"), "left")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  new names for the same table's columns
+    info = fresh(left.select("bin", "set", "component").distinct()).join(sets, "set")
+    possible = _store.written(left.select("bin", "sig", "set").groupBy("bin").cogroup(fresh(info).groupBy("bin")).applyInArrow(_possible(percent), "bin long, set long"), "possible")
+    if possible.isEmpty():
         return classes, links, comp
-    more = checked(rest)
+    info = info.join(possible, ["bin", "set"], "left_semi").join(shingled(possible.select("set")), "set")
+    some = left.select("bin", "sig", "set").join(possible, ["bin", "set"], "left_semi")
+    more = _store.written(some.groupBy("bin").cogroup(fresh(info).groupBy("bin")).applyInArrow(_forest(percent), "a long, b long"), "more")
     # the components so far stand for the links that made them
     return classes, links.unionByName(more), components(comp.toDF("a", "b").unionByName(more))
 
 
+def _placed(docs: DataFrame, **options) -> DataFrame:
+    """(_d, _t, n, component) of each document; without words, component is null."""
+    classes, _, comp = link(docs, **options)
+    both = classes.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    return _store.written(both.select("_d", "_t", "n", F.when(F.col("n") > 0, F.col("component")).alias("component")), "placed")
+
+
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """One row per document: its set's size and the least id of its component."""
-    classes, _, comp = link(docs, width, percent, **options)
-    both = classes.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    both = _store.written(both.select("_d", "n", F.when(F.col("n") > 0, F.col("component")).alias("component")), "placed")
+    both = _placed(docs, width=width, percent=percent, **options)
     least = both.where("n > 0").groupBy("component").agg(F.min("_d").alias("least"))
     out = both.join(least, "component", "left").withColumn("least", F.coalesce("least", "_d"))
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))
@@ -408,6 +511,20 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **optio
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is the least of their component, with all their columns."""
-    spare = similar(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_spare"))
-    return docs.join(spare, F.col("doc_id").eqNullSafe(F.col("_spare")), "left_anti")
+    """One document of each component, with all its columns: the one with the least id, of such the
+    least text hash, of rows that repeat any one.  Documents without words all stay."""
+    both = _placed(docs, **options)
+    linked = both.where("component is not null")
+    first = linked.groupBy("component").agg(F.min(F.struct("_d", "_t")).alias("r")).select("r._d", "r._t").withColumn("first", F.lit(True))
+    spare = linked.join(first, ["_d", "_t"], "left").groupBy("_d", "_t").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("rows")).where("first is null or rows > 1")
+    spare = _store.written(spare, "spare")
+    d, t, again, number = _store.private(docs, 4)
+    marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    gone = spare.where("first is null").select(F.col("_d").alias(d), F.col("_t").alias(t))
+    kept = marked.join(gone, [d, t], "left_anti")
+    twice = spare.where("first").select(F.col("_d").alias(d), F.col("_t").alias(t), F.lit(True).alias(again))
+    if not twice.isEmpty():  # rows that repeat: few keys, each with rows of one id and text
+        kept = kept.join(twice, [d, t], "left")
+        one = kept.where(F.col(again)).withColumn(number, F.row_number().over(Window.partitionBy(d, t).orderBy(d))).where(F.col(number) == 1)
+        kept = kept.where(F.col(again).isNull()).select(*docs.columns).unionByName(one.select(*docs.columns))
+    return kept.select(*docs.columns)

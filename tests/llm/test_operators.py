@@ -194,6 +194,33 @@ def test_jaccard_short_stars_and_chains(spark):
     assert rows(jaccard.similar(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs))
 
 
+def test_jaccard_pairs_beside_the_least_set(spark):
+    """q and b link, but meet only under sets that stand apart from one of them."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for _ in range(15):
+        q = [f"w{x}" for x in rng.integers(10**9, size=200)]
+        a, b, z = list(q), list(q), list(q)
+        for own, places in ((a, [90]), (b, [20, 60, 120, 170]), (z, range(8, 200, 12))):
+            for p in places:
+                own[p] = f"v{rng.integers(10**9)}"
+        docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate((q, a, b, z))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"bin_rows": 3}):
+        assert rows(jaccard.similar(df, **options), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs))
+
+
+def test_signatures_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    for n in (*range(1, 40), 77, 130, 333, 1200):
+        for _ in range(6):
+            common = rng.integers(1, 2**63, n).astype(np.uint64)
+            more = rng.integers(1, 2**63, n // 4).astype(np.uint64)
+            x, y = np.sort(common), np.sort(np.concatenate([common, more]))
+            sig, who = jaccard.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+            assert len(more) == 0 or set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)]
     got = dict(rows(components(spark.createDataFrame(path, "a long, b long")), "node", "component"))
