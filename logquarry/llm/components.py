@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import _store
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
     Each round points the larger neighbours (large star), then the smaller ones (small star)
@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = _store.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:  # each round but the last shortens the paths
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == state:
             break

@@ -13,12 +13,14 @@ parts.  Linked sets of a band share a non-empty signature unless m or more rows
 them have an empty one; only such a set also gives its empty ones.
 
 1. Tasks work in blocks: equal sets are one, signatures travel packed to the bucket of their
-   hash, about 4 bytes each and 8 for the set.  A signature that `local_hot` or more sets of a
+   hash, about 5 bytes each and 8 for the set.  A signature that `local_hot` or more sets of a
    block have is sent on as plain rows that spread over all tasks, with one entry to its bucket.
    A block sends at most one packet to a bucket and none without an entry, so what travels
    follows the signatures, however many buckets there are.
-2. Buckets yield (signature, set) of every signature that several sets have.
-3. Every signature pairs its least set with each other one (stars, never all pairs).  Sketches,
+2. Buckets pair the least set of every signature with each other one (stars, never all pairs),
+   counted, and yield (signature, set) where three sets or more have it.  Signatures that were
+   hot in a block go through a shuffle for that.
+3. Sketches,
    a lower bound of the difference that never rejects a link, screen all stars.  Of each set,
    the star with most common signatures is checked first; then all others whose ends are still
    in different components.  A check counts common shingles exactly.
@@ -49,13 +51,14 @@ from pyspark.sql import functions as F
 
 from . import _store, _text
 from .components import components
-from .windows import BLOCK_BYTES, pack_places, unpack_places
+from .windows import pack_places, unpack_places
 
 U = np.uint64
 WIDTH, PERCENT = 5, 80
 PACKED = "bucket long, kind int, entries binary, places binary, sets binary"
 FOUND = "kind int, sig long, set long, n int, _d long, _t long, sketch binary"
-LOW = 24
+LOW = 32
+BLOCK_BYTES = 4 << 20
 BINS = 256
 #: Up to so large a difference a single row of parts serves.
 FEW = 6
@@ -265,15 +268,24 @@ def _bucket(bits: int):
             lead = np.flatnonzero(once)
             h = np.add.reduceat(h, lead) > 0
             s, p = s[once], p[once]
-            equal = s[1:] == s[:-1]
-            many = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-            keep = many | h  # a hot one may have its partners among the plain rows
-            s, p = s[keep], p[keep]
-            add(0, s.view(np.int64), p, np.zeros(len(p), int))
+            lead = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            many = np.diff(np.append(lead, len(s)))
+            h = np.repeat(np.add.reduceat(h, lead) > 0, many)  # may have more sets among the plain rows
+            none = np.zeros(len(s), np.int64)
+            add(1, s[h].view(np.int64), p[h], none[h])
+            whole = ~h & np.repeat(many > 2, many)
+            add(0, s[whole].view(np.int64), p[whole], none[whole])
+            pair = ~h & np.repeat(many > 1, many)
+            pair[lead] = False
+            a, b = np.repeat(p[lead], many)[pair], p[pair]
+            order = np.lexsort([b, a])
+            a, b = a[order], b[order]
+            lead = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none[:0]
+            add(4, a[lead], b[lead], np.diff(np.append(lead, len(a))))
         for i, k in enumerate(kind):
             if k == 1:
                 p = np.frombuffer(sets[i], "<i8")
-                add(0, np.frombuffer(entries[i], "<u8").view(np.int64), p, np.zeros(len(p), int))
+                add(1, np.frombuffer(entries[i], "<u8").view(np.int64), p, np.zeros(len(p), int))
             elif k == 2:
                 ids, n = np.frombuffer(entries[i], "<i8"), np.frombuffer(places[i], "<i8")
                 d, t = np.split(np.frombuffer(sets[i], "<i8"), 2)
@@ -440,7 +452,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
     packed = own.select("_d", "_t", "text").mapInArrow(_signer(width, percent, bits, local_hot), PACKED)
     found = _store.written(packed.groupBy("bucket").applyInArrow(_bucket(bits), FOUND), "found")
     classes = found.where("kind = 2").select("_d", "_t", "set", "n")
-    members = _store.written(found.where("kind = 0").select("sig", "set").distinct(), "members")
+    hot = _store.written(found.where("kind = 1").select("sig", "set").distinct(), "hot")
+    members = found.where("kind = 0").select("sig", "set").unionByName(hot)
     sets = _store.written(found.where("kind = 3").select("set", "n", "sketch").dropDuplicates(["set"]), "sets")
 
     def shingled(needed: DataFrame) -> DataFrame:
@@ -458,8 +471,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_byt
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return _store.written(both.mapInArrow(_checker(percent), "a long, b long"), "links")
 
-    least = members.groupBy("sig").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = members.withColumnRenamed("set", "b").join(least.select("sig", "a"), "sig").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    least = hot.groupBy("sig").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1").select("sig", "a")
+    stars = hot.withColumnRenamed("set", "b").join(least, "sig").where("a <> b").select("a", "b", F.lit(1).alias("c"))
+    stars = stars.unionByName(found.where("kind = 4").select(F.col("sig").alias("a"), F.col("set").alias("b"), F.col("n").alias("c")))
+    met = stars.groupBy("a", "b").agg(F.sum("c").alias("c"))
     met = met.join(sets.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     met = met.join(sets.select(F.col("set").alias("a"), "n", F.col("sketch").alias("x")), "a")
     met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "c", "n", "m", "x", "y")
