@@ -1,14 +1,18 @@
 """Token ids of whole texts with a public tokenizer, fast on repeated words.
 
 The tokenizer splits text before any merge, and a space that follows a non-space and
-precedes one always begins such a piece.  So a text cut there encodes piece by piece, and a
-piece seen before need not be encoded again.  A text in which a space meets other white
+precedes one always begins such a piece.  So a text cut there encodes piece by piece.  Pieces
+of Latin letters, digits and ASCII signs are cut further, at the tokenizer's own pattern, and
+a part seen before need not be encoded again.  A text in which a space meets other white
 space (or ends the text) is given to the library whole.
+
+Strings of special tokens in a text are ordinary text, as the tokenizers' README says.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import accumulate, chain
 
 import numpy as np
@@ -17,8 +21,12 @@ import pyarrow.compute as pc
 
 from . import _text
 
-#: Pieces remembered by one worker; beyond that it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Parts that a worker remembers in each of two generations; those of the older one that are not met again go.
+REMEMBERED = 400_000
+# Fixed value: the pattern by which the tokenizer cuts text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters beyond these are left to the library, whose tables of letters may differ.
+_OTHER = re.compile("[^\n\r\t -~\xa1-\u024f]")
 _WHOLE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
@@ -33,12 +41,16 @@ class Encoder:
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_path())
         self.library.encode_special_tokens = True
         self.type = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stop = self.library.encode("\n", add_special_tokens=False).ids
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         rows = [x.ids for i in range(0, len(texts), 2048) for x in self.library.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
@@ -46,18 +58,60 @@ class Encoder:
         ends = list(accumulate(len(x) * self.type.itemsize for x in rows))
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes unseen pieces; one that is a word and a stop shares the word's ids."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        unseen = [x for x in pieces if x not in known]
-        ended = [x for x in unseen if x[-1] in ".," and x[-2:-1].isalnum()]
-        bare = [x for x in unseen if not (x[-1] in ".," and x[-2:-1].isalnum())]
-        whole = list(dict.fromkeys([*bare, *(w for x in ended if (w := x[:-1]) not in known), *(x for x in ".," if x not in known)]))
-        known.update(zip(whole, self._bytes(whole), strict=True))
-        for x in ended:
-            known[x] = known[x[:-1]] + known[x[-1]]
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space but for one space before: many at once, a line each."""
+        if len(self.stop) != 1:
+            return self._bytes(parts)
+        out, step = [], self.type.itemsize
+        for i in range(0, len(parts), 1 << 15):
+            lines = ["\n".join(parts[j : min(j + 512, i + (1 << 15))]) + "\n" for j in range(i, min(i + (1 << 15), len(parts)), 512)]
+            ids = np.concatenate([np.array(x.ids, self.type) for x in self.library.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = (np.flatnonzero(ids == self.stop[0]) * step).tolist()
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip([0, *(x + step for x in ends)], ends)]
+        return out
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; an empty string has none."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known[""] = b""
+        out = list(map(known.get, pieces))
+        words: dict[str, None] = {}
+        other: dict[str, None] = {}
+        one: list[int] = []
+        cut: list[tuple[int, tuple[str, ...]]] = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            x = pieces[i]
+            if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
+                one.append(i)
+                words[x] = None
+                continue
+            if x[-1] in ".," and x[0] == " " and x[1:-1].isalpha():
+                parts = (x[:-1], x[-1])
+                words[x[:-1]] = other[x[-1]] = None
+            elif _OTHER.search(x):
+                parts = (x,)
+                other[x] = None
+            else:
+                parts = self.cut(x)
+                for y in parts:
+                    if y.isalpha() or y[0] == " " and y[1:].isalpha():
+                        words[y] = None
+                    else:
+                        other[y] = None
+            cut.append((i, parts))
+        for x in (words.keys() | other.keys()) & older.keys():
+            known.setdefault(x, older[x])
+        for found, coder in ((words, self._parts), (other, self._bytes)):
+            new = [x for x in found if x not in known]
+            known.update(zip(new, coder(new), strict=True))
+        for i in one:
+            out[i] = known[pieces[i]]
+        for i, parts in cut:
+            out[i] = b"".join([known[x] for x in parts])
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -66,25 +120,20 @@ class Encoder:
         first = split.offsets.to_numpy()
         first = first - first[0]
         flat = split.flatten().dictionary_encode()
-        number, unique = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
+        number, unique = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
         heads = number[first[:-1]]
         opening = np.unique(heads)
-        later = np.ones(len(number), bool)
-        later[first[:-1]] = False
-        used = np.zeros(len(unique), bool)
-        used[number[later]] = True
-        pieces = [" " + x if u else "" for x, u in zip(unique, used, strict=True)] + [unique[i] for i in opening]
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False).astype(bool)
-        codes = number.copy()
+        codes = number
         codes[first[:-1]] = len(unique) + np.searchsorted(opening, heads)
         if whole.any():  # their pieces are not pieces of the tokenizer; leave them out
-            out = np.repeat(whole, np.diff(first))
-            codes = codes[~out]
-            needed = np.zeros(len(pieces), bool)
-            needed[codes] = True
-            pieces = [x if y else "" for x, y in zip(pieces, needed, strict=True)]
-        self._learn([x for x in dict.fromkeys(pieces) if x])
-        coded = [self.known[x] if x else b"" for x in pieces]
+            codes = codes[~np.repeat(whole, np.diff(first))]
+        none = pa.scalar("", pa.large_string())
+        needed = np.zeros(len(unique) + len(opening), bool)
+        needed[codes] = True
+        pieces = pa.concat_arrays([pc.binary_join_element_wise(none, unique, pa.scalar(" ", none.type)), unique.take(pa.array(opening))])
+        pieces = pc.if_else(pa.array(needed), pieces, none).to_pylist()
+        coded = self._coded(pieces)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.type.itemsize
         table, begin = np.frombuffer(b"".join(coded), self.type), np.concatenate([[0], np.cumsum(size)])
         lengths = size[codes]
@@ -99,7 +148,7 @@ class Encoder:
         rows = [next(own) if whole[i] else ids[at[i] : at[i + 1]] for i in range(n)]
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 
-    def batches(self, texts: pa.Array, most: int = 2 * _text.SLICE_BYTES):
+    def batches(self, texts: pa.Array, most: int = 4 * _text.SLICE_BYTES):
         """(first row, ids, offsets) of consecutive groups of whole documents."""
         _, at = _text.utf8(texts)
         i = 0
