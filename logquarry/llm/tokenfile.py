@@ -14,8 +14,13 @@ to serves, and a lost executor leaves nothing half done:
 A selector packs a fixed count of ids of a fixed width in one word, first id in the lowest
 bits.  Selector 15 is the escape: the id has more than 60 bits and fills the next word.
 
-Null texts are empty documents (the end id alone); rows that repeat are stored each; an
-empty table makes a file set without blocks, which reads back as no rows.
+`fetch` reads chosen documents: it takes the blocks that hold them, and in a block only the
+words from the offset before a document to its end.
+
+Documents of one id stand in the order of their texts' hashes.  Null texts are empty documents
+(the end id alone); a null id comes first; rows that repeat are stored each; an empty table
+makes a file set without blocks, which reads back as no rows.  Other columns are not read.  A
+very long text is one document of one block, which must fit a worker some thirty times.
 """
 
 from __future__ import annotations
@@ -40,19 +45,45 @@ BLOCK_IDS = 1 << 18
 BLOCKS = "shard long, block long, n_ids long, documents array<long>, sizes array<long>, offsets array<long>, words binary"
 
 
+def _chain(after: np.ndarray) -> np.ndarray:
+    """The places 0, after[0], after[after[0]] ... before the end, len(after).
+
+    Places of one stretch of 64 lead to the next stretch; the few entries of stretches are
+    followed one by one, and then all stretches at once."""
+    n = len(after)
+    size = 64 * -(-n // 64)
+    to = np.concatenate([after, np.full(size - n + 1, size)])
+    to[to == n] = size
+    stop = (np.arange(size + 1) | 63) + 1
+    stop[size] = size
+    leave = to.copy()
+    for _ in range(6):  # at most 64 steps of one or more within a stretch
+        leave = np.where(leave < stop, leave[leave], leave)
+    heads, at = [], 0
+    out = leave.tolist()
+    while at < size:
+        heads.append(at)
+        at = out[at]
+    now, found = np.array(heads, np.int64), []
+    end = stop[now] if len(now) else now
+    while len(now):
+        found.append(now)
+        now = to[now]
+        keep = now < end
+        now, end = now[keep], end[keep]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of the ids: each word takes as many of the next ids as fit."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8")
-    width = np.zeros(n, np.uint8)
-    for b in range(60):
-        big = ids >> np.uint64(b) != 0
-        if not big.any():
-            break
-        width += big
-    huge = ids >> np.uint64(60) != 0
+    width = np.frexp((ids >> np.uint64(32)).astype(float))[1]  # exact: both halves have 32 bits
+    width = np.where(width > 0, width + 32, np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(float))[1]).astype(np.uint8)
+    huge = width > 60
+    width = np.minimum(width, 60)
     # the selector at each place, from the widest ids of the next 1, 2, 3 ... ids
     choice = np.full(n, len(COUNTS) - 1, np.uint8)
     reach, widest = 1, width
@@ -73,11 +104,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
     if huge.any():  # no word but the escape may hold one
         choice[huge] = ESCAPE
         step[huge] = 1
-    jumps, places, at = step.tolist(), [], 0
-    while at < n:
-        places.append(at)
-        at += jumps[at]
-    places = np.array(places)
+    places = _chain(np.minimum(np.arange(n) + step, n))
     picked = choice[places].astype(np.uint64)
     word = picked << np.uint64(60)
     for s, (count, bits) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
@@ -96,7 +123,7 @@ def _layout(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selector = (words >> np.uint64(60)).astype(np.uint8)
     for i in np.flatnonzero(selector == ESCAPE):  # a payload may look like a selector: settle in order
         if selector[i] == ESCAPE:
-            selector[i + 1] = 255
+            selector[i + 1 : i + 2] = 255
     held = np.zeros(256, np.int64)
     held[: len(COUNTS)], held[255] = COUNTS, 1
     return selector, held[selector]
@@ -123,6 +150,16 @@ def block_offsets(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(held)])[:-1][::STEP]
 
 
+def part(words: np.ndarray, offsets: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """The ids number first to stop of a block, from the words that can hold them."""
+    a = max(0, int(np.searchsorted(offsets, first, "right")) - 1)
+    while a and words[a * STEP - 1] >> np.uint64(60) == ESCAPE:
+        a -= 1  # an offset's word may be an escape's payload; after another word it is none
+    b = int(np.searchsorted(offsets, stop, "left"))
+    ids = decode(words[a * STEP : b * STEP + 1])  # one more, lest an escape ends the words
+    return ids[first - int(offsets[a]) : stop - int(offsets[a])]
+
+
 def _writer(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,8 +201,9 @@ def _writer(path: str | None, end_id: int):
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shards: int | None = None) -> None:
     """Encodes all documents to the file set at path; shards (files) hold ascending ranges of ids."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = narrow.repartitionByRange(shards or _store.parts(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(_writer(tokenizer, end_id), BLOCKS).write.option("compression", "none").parquet(path)
+    first, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = narrow.repartitionByRange(shards or _store.parts(docs.sparkSession), first).sortWithinPartitions(first, tie)
+    dealt.select("doc_id", "text").mapInArrow(_writer(tokenizer, end_id), BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,3 +230,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     places = inner.join(before, "shard").select("shard", "block", (F.col("before") + F.col("inner")).alias("first"))
     docs = blocks.select("shard", "block", "documents", "sizes", "words").mapInArrow(_text.tidy(_reader), "doc_id long, shard long, block long, local long, n_tokens long, ids_crc32 long")
     return docs.join(places, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")
+
+
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents asked for, a row for each that is stored."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, sizes, offsets, words in zip(*(batch.column(i) for i in range(4)), strict=True):
+                raw, starts = np.frombuffer(words.as_buffer(), "<u8"), offsets.values.to_numpy()
+                at = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+                own = [i for i, d in enumerate(docs.as_py()) if d is not None and wanted[min(np.searchsorted(wanted, d), len(wanted) - 1)] == d]
+                found = [part(raw, starts, int(at[i]), int(at[i + 1])).astype(np.int64) for i in own]
+                yield pa.RecordBatch.from_arrays([docs.values.take(pa.array(own, pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    low, high = int(wanted[0]), int(wanted[-1])
+    near = blocks.where((F.coalesce(F.try_element_at("documents", F.lit(-1)), F.lit(low)) >= low) & (F.coalesce(F.try_element_at("documents", F.lit(1)), F.lit(low)) <= high))
+    return near.select("documents", "sizes", "offsets", "words").mapInArrow(_text.tidy(run), "doc_id long, ids array<long>")
