@@ -2,19 +2,23 @@
 
 The model is over the bytes of the texts (white space as one kind of byte), of order five,
 one per language.  All n-grams of the distinct texts of a language are counted in Spark (a
-group of copies would else teach the model its own text): tasks send one row per distinct n-gram, and the lower orders, discounts and interpolated probabilities follow by
-aggregation and joins.  N-grams of the highest order seen once keep no mass of their own
-(they come from the very document that is judged).  The probabilities are held as arrays
-sorted by n-gram code; those are broadcast if there are at most `broadcast_grams`, and
-beyond that the documents' n-grams are joined with them.
+group of copies would else teach the model its own text): tasks send one row per distinct
+n-gram.  Lower orders, discounts and interpolated probabilities follow from these counts.
+N-grams of the highest order seen once leave all their mass to the lower orders (they come
+from the very document that is judged); the probabilities of every context sum to one.  They
+are held as arrays sorted by n-gram code, a language each.  Up to `broadcast_grams` n-grams
+(20 bytes each on the driver, 12 in a worker) are estimated on the driver and broadcast; more
+are estimated by aggregations and joins, and joined with the documents' n-grams.
 
 A document's perplexity is judged against bands of its language: the median plus and minus
 `spread` times the distance of the outer deciles from it, so a band follows the language and
 the bulk of each language stays inside.  Both are taken over the distinct texts of a language,
 so a group of copies weighs as one.
 
-Null texts have no words and fail the base rule.  A null language is a language of its own.
-Rows that repeat are judged each.  An empty table yields no rows.
+Null texts have no words and fail the base rule.  Null and empty language are one language.
+Rows that repeat are judged each, and alike.  Equal scores fall on the same side of a band.  An
+empty table yields no rows.  Columns beside doc_id, text and lang are not read.  A very long
+text is judged whole, by one task, in some fifty times its size of memory.
 """
 
 from __future__ import annotations
@@ -99,10 +103,48 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return out.select("lang", "d1", "d2", "d3")
 
 
-def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, g, logp): the natural logarithm of the probability of each n-gram's last byte."""
+def _probabilities(g: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """Logarithms of the probabilities of a language's n-grams (ascending codes) from their counts."""
+    tables = {order: (g, n)}
+    for k in range(order - 1, 0, -1):
+        tables[k] = np.unique(tables[k + 1][0] & ((1 << 8 * k) - 1), return_counts=True)
+    lower = None
+    for k in range(1, order + 1):
+        keys, counts = tables[k]
+        t = [float((counts == i).sum()) for i in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] + 2 * t[1] > 0 else 0.5
+        d = [min(0.95 * i, max(0.05 * i, i - (i + 1) * y * t[i] / t[i - 1] if t[i - 1] > 0 else 0.5 * i)) for i in (1, 2, 3)]
+        d[0] = 1.0 if k == order else d[0]
+        gone = np.choose(np.minimum(counts, 3) - 1, d)
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] >> 8 != keys[:-1] >> 8]))
+        sizes = np.diff(np.append(new, len(keys)))
+        total, back = (np.repeat(np.add.reduceat(x, new), sizes) for x in (counts, gone))
+        q = 1 / 256 if lower is None else lower[np.searchsorted(tables[k - 1][0], keys & ((1 << 8 * (k - 1)) - 1))]
+        lower = (counts - gone) / total + back / total * q
+    return np.log(lower)
+
+
+def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, g, n) over the distinct texts of each language, as a written table."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")).distinct()
-    top = _store.written(texts.mapInArrow(_text.tidy(_counter), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    return _store.written(texts.mapInArrow(_text.tidy(_counter), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+
+
+def local_model(counts: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Codes, ascending, and logarithms of each language; counts must be few enough for the driver."""
+    table = counts.select("lang", "g", F.col("n").cast("long").alias("n")).toArrow().combine_chunks()
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    number, g, n = langs.indices.to_numpy(), table["g"].to_numpy(), table["n"].to_numpy()
+    out = {}
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        own = np.flatnonzero(number == i)
+        own = own[np.argsort(g[own])]
+        out[lang] = (g[own], _probabilities(g[own], n[own], order).astype(np.float32))
+    return out
+
+
+def model(top: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, g, logp): the natural logarithm of the probability of each n-gram's last byte, from gram_counts."""
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # how many different bytes come before an n-gram
         tables[k] = tables[k + 1].select("lang", (F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
@@ -112,10 +154,10 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(1, order + 1):
         d = F.broadcast(_discounts(tables[k]))  # one row per language
         t = tables[k].join(d, "lang").withColumn("h", F.shiftright("g", 8))
-        t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1") if k < order else F.lit(1.0)).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = t.groupBy("lang", "h").agg(F.sum("n").alias("all"), F.sum("d").alias("back"))
         t = t.join(context, ["lang", "h"])
-        own = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) if k < order else F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.col("n") - F.col("d"))
+        own = F.col("n") - F.col("d")
         back = F.col("back") / F.col("all")
         if lower is None:
             p = (own / F.col("all")) + back / 256
@@ -183,6 +225,8 @@ def _judge(blob):
                 logp = np.zeros(len(keys), np.float64)
                 own = np.array(langs[i : i + len(at) - 1], object)
                 for lang in set(own):
+                    if lang not in known:  # its texts are all empty
+                        continue
                     here = np.repeat(own == lang, np.diff(at))
                     g, p = known[lang]
                     logp[here] = p[np.minimum(np.searchsorted(g, keys[here]), len(g) - 1)]
@@ -208,29 +252,27 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def scores(docs: DataFrame, broadcast_grams: int = 12_000_000) -> DataFrame:
-    """doc_id, lang, the base counts, log_perplexity (per byte; null without text) and _text, a hash of the text, of each row."""
-    spark = docs.sparkSession
-    known = _store.written(model(docs), "model")
+    """doc_id, lang, the base counts, log_perplexity (per byte; null without text) and _text, a hash of the text, of each row; a written table."""
+    counts = gram_counts(docs)
     schema = f"doc_id long, lang string, {BASE}, log_perplexity double, _text long"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
-    if known.count() <= broadcast_grams:
-        table = known.orderBy("lang", "g").toArrow()
-        langs = table["lang"].to_numpy()
-        g, p = table["g"].to_numpy(), table["logp"].to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], langs[1:] != langs[:-1], [True]])) if len(langs) else []
-        arrays = {langs[a]: (g[a:b], p[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)}
-        return own.mapInArrow(_judge(spark.sparkContext.broadcast(pickle.dumps(arrays))), schema)
+    if counts.count() <= broadcast_grams:
+        blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(local_model(counts)))
+        out = _store.written(own.mapInArrow(_judge(blob), schema), "scores")
+        blob.destroy()
+        _text.release()
+        return out
+    known = _store.written(model(counts), "model")
     marked = own.withColumn("_d", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_t", F.xxhash64("text", "lang"))
     once = marked.dropDuplicates(["_d", "_t"]).select("_d", "_t", "lang", "text")
     grams = once.mapInArrow(_text.tidy(_document_grams), "_d long, _t long, lang string, g long, c long")
     summed = grams.join(known, ["lang", "g"]).groupBy("_d", "_t").agg((-F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("joined"))
     base = marked.select("doc_id", "lang", "text", "_text", "_d", "_t").mapInArrow(_judge(None), schema + ", _d long, _t long")
-    return base.join(summed, ["_d", "_t"], "left").withColumn("log_perplexity", F.col("joined")).drop("_d", "_t", "joined")
+    return _store.written(base.join(summed, ["_d", "_t"], "left").withColumn("log_perplexity", F.col("joined")).drop("_d", "_t", "joined"), "scores")
 
 
-def judge(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_000) -> DataFrame:
-    """The counts of each document, whether it fails the base rule, and whether it is kept."""
-    found = _store.written(scores(docs, broadcast_grams), "scores")
+def _judged(docs: DataFrame, spread: float, broadcast_grams: int) -> DataFrame:
+    found = scores(docs, broadcast_grams)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
@@ -240,10 +282,18 @@ def judge(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_00
     bands = bands.select("lang", (F.col("q")[1] - spread * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[1])).alias("upper"))
     both = found.join(F.broadcast(bands), "lang", "left")  # one row per language
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"), "log_perplexity", "lower", "upper")
+    return both.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
+
+
+def judge(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_000) -> DataFrame:
+    """The counts of each document, whether it fails the base rule, and whether it is kept."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper")
+    return _judged(docs, spread, broadcast_grams).select(*columns)
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    rejected = judge(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def keep(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_000) -> DataFrame:
+    """The documents that the rules keep, with all their columns: each row by its own text and language."""
+    d, t, lang = _store.private(docs, 3)
+    gone = _judged(docs, spread, broadcast_grams).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(d), F.col("_text").alias(t), F.coalesce("lang", F.lit("")).alias(lang))
+    marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), lang: F.coalesce(F.col("lang").cast("string"), F.lit(""))})
+    return marked.join(gone, [d, t, lang], "left_anti").select(*docs.columns)
