@@ -13,18 +13,20 @@ A byte goes if a string of `width` bytes over it also starts anywhere else.
    by anchor, place and what the eight share; those with more than `hot` send single windows,
    keyed by their content.  So no key gathers what grows with a hot group, beyond one entry
    a task.
-3. A bucket builds a suffix array of its contexts by prefix doubling on integer ranks, to
-   depth `width`, and scans its common-prefix intervals.  Beyond that depth contexts end, so
-   the intervals are the leaves of the tree cut at `width`; every suffix in an interval with
-   two or more is a repeat, all occurrences, not just neighbours.
-4. The intervals return to the texts by document, and the bytes go.
-
-`maximal_repeats` is the same tree in full, for the texts of one group: a stack scan over
-suffix array and common prefixes that reports the intervals whose occurrences have different
-bytes to the left.
-
-Null texts are empty.  Rows that repeat are repeats of one another.  An empty table yields
-no rows.
+3. A bucket builds the enhanced suffix array of its contexts: suffixes by prefix doubling on
+   integer ranks, and their common prefixes.  Suffixes that share `width` bytes stand together;
+   a stand whose members all have the same byte to the left lies inside a longer repeat and is
+   left out.  Over the others a stack scan of the common-prefix interval tree yields the maximal
+   repeats: the intervals whose occurrences differ in the byte to the left (or begin their
+   context), with all occurrences, not just neighbours.  A context ends `width` - 1 bytes after
+   its last window, so a repeat of many anchors comes in overlapping parts.
+4. The occurrences return to the texts by document, and the bytes under them go.
+
+`maximal_repeats` is the same for whole texts of one group.
+
+Null texts are empty.  Rows that repeat are repeats of one another.  A null id is the smallest.
+An empty table yields no rows.  Other columns are not read.  A very long text passes in one
+piece through a worker, in some fifty times its size of memory.
 """
 
 from __future__ import annotations
@@ -196,8 +198,8 @@ def _contexts(width: int, gram: int, bits: int):
                                 seen[key, context] = len(rows)
                                 rows.append([key, 0, key, d, t, s - base, e - s + 1, context])
                             s = e + 1
-            for r in rows:
-                r[0] = r[2] & ((1 << bits) - 1)
+            for n, r in enumerate(rows):  # a copy brings no context: any bucket can pass it on
+                r[0] = (n + r[3] if r[1] & 1 else r[2]) & ((1 << bits) - 1)
                 r[2] = r[2] - (1 << 64) if r[2] >= 1 << 63 else r[2]
             for k in range(0, len(rows), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows[k : k + (1 << 14)], strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
@@ -262,6 +264,30 @@ def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def interval_tree(order: list[int], common: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last + 1) of every interval of the suffix array whose suffixes share `length` >= least
+    bytes, no longer prefix is shared by all, and the bytes to the left differ.
+
+    common: of each suffix with the one before it.  left: the byte to the left, or a number of its
+    own where there is none.  An open interval knows the one byte to the left of all it holds so
+    far, or None once there are two; closing it passes that on to the interval around it."""
+    stack: list[list] = []  # [length, first, left]
+    mixed = object()
+    for i in range(1, len(order) + 1):
+        c = common[i] if i < len(order) else 0
+        first, byte = i - 1, left[i - 1]
+        while stack and stack[-1][0] > c:
+            length, first, seen = stack.pop()
+            byte = byte if seen is None or seen == byte else mixed
+            if byte is mixed and length >= least:
+                yield length, first, i
+        if stack and stack[-1][0] == c:
+            top = stack[-1]
+            top[2] = byte if top[2] is None or top[2] == byte else mixed
+        elif c:
+            stack.append([c, first, byte])
+
+
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, place), ...]) of every maximal repeat of at least `least` bytes.
 
@@ -275,20 +301,60 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     if len(common):
         common[1:] = np.minimum(common[1:], np.minimum(room[1:], room[:-1]))
     begin = [0, *ends.tolist()]
-    begins, out, stack = set(begin), [], []  # open intervals: (common prefix, first entry)
-    for i in range(1, len(order) + 1):
-        c, left = (int(common[i]) if i < len(order) else 0), i - 1
-        while stack and stack[-1][0] > c:
-            length, left = stack.pop()
-            found = order[left:i].tolist()
-            if length >= least and len({joined[p - 1] if p not in begins else -1 - p for p in found}) > 1:
-                places = [(int(np.searchsorted(ends, p, "right")), p) for p in found]
-                out.append((length, sorted((t, p - begin[t]) for t, p in places)))
-        if c and (not stack or stack[-1][0] < c):
-            stack.append((c, left))
+    begins = set(begin)
+    left = [joined[p - 1] if p not in begins else -1 - p for p in order.tolist()]
+    out = []
+    for length, a, b in interval_tree(order.tolist(), common.tolist(), left, least):
+        places = [(int(np.searchsorted(ends, p, "right")), p) for p in order[a:b].tolist()]
+        out.append((length, sorted((t, p - begin[t]) for t, p in places)))
     return out
 
 
+def context_repeats(data: np.ndarray, at: np.ndarray, owned: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """(length, starts) of the maximal repeats of at least width bytes among the owned starts of contexts."""
+    rank = depth_ranks(data, width)
+    row = np.repeat(np.arange(len(owned)), owned)
+    start = at[row] + np.arange(owned.sum()) - np.repeat(np.cumsum(owned) - owned, owned)
+    order = np.argsort(rank[start], kind="stable")
+    start, row = start[order], row[order]
+    r = rank[start]
+    same = r[1:] == r[:-1]
+    stand = np.cumsum(np.concatenate([[1], ~same])) if len(r) else r
+    left = np.where(start > at[row], data[start - 1].astype(np.int64), -1 - start) if len(start) else start
+    # stands of one suffix, and those whose members all have the same byte to the left, hold no maximal repeat
+    new = np.flatnonzero(np.concatenate([[True], ~same])) if len(r) else r
+    size = np.diff(np.append(new, len(r)))
+    low, high = (f.reduceat(left, new) if len(new) else new for f in (np.minimum, np.maximum))
+    keep = np.repeat((size > 1) & (low != high), size)
+    start, row, stand, left = start[keep], row[keep], stand[keep], left[keep]
+    if not len(start):
+        return []
+    # within a stand, by what follows: contexts end at most len - width bytes later
+    room = at[row + 1] - start
+    more = int(room.max()) - width
+    tail = np.zeros((len(start), max(0, -(-more // 8))), U)
+    wide = np.concatenate([data, np.zeros(more + 16, np.uint8)])
+    for k in range(more):
+        byte = np.where(width + k < room, wide[start + width + k].astype(U) + U(1), U(0))  # 0: the context is over
+        if k % 7 == 0 and k // 7 >= tail.shape[1]:
+            tail = np.concatenate([tail, np.zeros((len(start), 1), U)], axis=1)
+        tail[:, k // 7] = tail[:, k // 7] << U(9) | byte
+    order = np.lexsort([*tail.T[::-1], stand])
+    start, row, stand, left, room = (x[order] for x in (start, row, stand, left, room))
+    common = np.zeros(len(start), np.int64)
+    if len(start) > 1:
+        both = np.flatnonzero(stand[1:] == stand[:-1]) + 1
+        length, open_ = np.full(len(both), width), np.arange(len(both))
+        most = np.minimum(room[both], room[both - 1])
+        while len(open_):
+            i = both[open_]
+            equal = (length[open_] < most[open_]) & (wide[start[i] + length[open_]] == wide[start[i - 1] + length[open_]])
+            open_ = open_[equal]
+            length[open_] += 1
+        common[both] = length
+    return [(n, start[a:b]) for n, a, b in interval_tree(start.tolist(), common.tolist(), left.tolist(), width)]
+
+
 def _distinct(rows: np.ndarray, key: np.ndarray, contexts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows to build suffix arrays of, by key, and rows whose context another has as well.
 
@@ -329,23 +395,10 @@ def _intervals(width: int, most: int = 4 << 20):
                 j += 1
             rows = real[i:j]
             data, at = _text.utf8(texts.take(pa.array(rows)))
-            rank = depth_ranks(data, width)
-            n = owned[rows]
-            row = np.repeat(np.arange(len(rows)), n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = at[row] + offset
-            r = rank[start]
-            order = np.argsort(r, kind="stable")  # the suffix array of the owned starts
-            equal = r[order][1:] == r[order][:-1]  # common prefix of the whole depth
-            again = np.zeros(len(r), bool)
-            again[order] = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-            again = np.flatnonzero(again)
-            if len(again):
-                new = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (row[again][1:] != row[again][:-1])])
-                first = again[new]
-                last = again[np.append(np.flatnonzero(new)[1:] - 1, len(again) - 1)]
-                own = rows[row[first]]
-                out.append((own, place[own] + offset[first], place[own] + offset[last] + width))
+            for length, starts in context_repeats(data, at, owned[rows], width):
+                row = np.searchsorted(at, starts, "right") - 1
+                first = place[rows[row]] + starts - at[row]
+                out.append((rows[row], first, first + length))
             i = j
         rows, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort([a, t[rows], d[rows]])
