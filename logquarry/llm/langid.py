@@ -1,13 +1,17 @@
 """Language identification by compression with per-language dictionaries.
 
-For each language a raw-content zstandard dictionary is cut from a bounded sample of its
-labelled texts (`sample_docs` texts, `dictionary_bytes` in all).  A text is compressed whole
-with every dictionary; the smallest result names the language.  The score is the share of
-the runner-up's bytes that the winner saves, mapped to 0..1; margins under `min_margin` are
-marked rejected, the best guess still given.
+For each language a raw-content zstandard dictionary is made of a bounded sample of its
+labelled rows: at most `sample_docs` rows drawn by hash, whole texts as long as they fit in
+`dictionary_bytes` (a text that does not fit in what is left is passed over).  A text of any
+length is compressed whole, once as it is and once lower-cased, with every dictionary; the
+smallest result names the language.  The score is the share of the runner-up's bytes that the
+winner saves, mapped to 0..1; margins under `min_margin` are marked rejected, the best guess
+still given.  Of equal results the first language name wins, with score 0.
 
 Texts that are null or without a letter are `und` with score 0.  Rows that repeat are
-predicted each.  Without any labelled row every text is `und`.
+predicted each, and alike.  Without any labelled row every text is `und`; a table without rows
+yields none.  Only doc_id, text and lang are read, whatever else there is.  A very long text
+takes some five times its size of memory.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text
+
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -27,22 +33,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = 256, dictionary_bytes: int = 96 << 10) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_docs: int = 256, dictionary_bytes: int = 112 << 10) -> dict[str, bytes]:
     """A dictionary per language, from a bounded sample of the labelled rows of docs."""
-    labelled = docs.where(F.col("lang").isNotNull())
+    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= dictionary_bytes))
     # four times as many as needed, by hash, so the window gets about as many rows at any size
     share = labelled.groupBy("lang").agg((F.lit(4.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
-    rows = labelled.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")  # one row per language
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", F.substring("text", 1, 8192).alias("part"), "h")
-    order = Window.partitionBy("lang").orderBy("h", "part")
+    rows = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")  # one row per language
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text", "h")
+    order = Window.partitionBy("lang").orderBy("h", "text")
     sample = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_docs).orderBy("lang", "i").collect()  # at most sample_docs a language
     out: dict[str, bytes] = {}
     for r in sample:
-        room = dictionary_bytes - len(out.get(r["lang"], b""))
-        if room > 0:
-            part = r["part"].encode()
-            share = max(256, dictionary_bytes // 64)
-            out[r["lang"]] = out.get(r["lang"], b"") + part[: min(room, share)] + b"\n"
+        text = r["text"].encode() + b"\n"
+        if len(out.get(r["lang"], b"")) + len(text) <= dictionary_bytes + 1:
+            out[r["lang"]] = out.get(r["lang"], b"") + text
     return out
 
 
@@ -65,8 +69,7 @@ def _predictor(blob, min_margin: float, level: int):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue
                 raw = s.encode()
-                if len(raw) < 400:  # bytes are coarse for short texts; matches of a repeated text are not
-                    raw = raw + b"\n" + raw.lower()
+                raw = raw + b"\n" + raw.lower()  # bytes are coarse for short texts; matches of a repeated text are not
                 sizes = np.array([len(p.compress(raw)) for p in packers], float)
                 best = int(np.argmin(sizes))
                 rest = np.delete(sizes, best)
@@ -74,7 +77,7 @@ def _predictor(blob, min_margin: float, level: int):
                 pred.append(langs[best]), score.append(min(1.0, max(0.0, margin))), rejected.append(margin < min_margin)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return run
+    return _text.tidy(run)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.01, level: int = 3) -> DataFrame:
