@@ -11,12 +11,16 @@ against the schemas given by tool name.  The JSON has sorted keys and no spaces.
 The first of several calls with one identifier (least turn and place) is the one that is
 linked.  A call whose identifier no result has is unanswered; a result without its call keeps
 its turn, unlinked.  Null texts read as empty content, null roles as the empty string; null
-turns come first.  Rows that repeat each yield a row.  An empty table yields no rows.
+turns come first; a null conversation links nothing.  An identifier that is a number links as
+the text of its digits.  What is not JSON (NaN and Infinity are not) is plain content, and half
+a surrogate pair stays an escape.  Rows that repeat each yield a row.  An empty table yields
+no rows.  Extra columns are not read.  Very long texts pass whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,32 +30,54 @@ from pyspark.sql import functions as F
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 ANSWER = "struct<tool_call_id:string,content:string>"
 RESULT = "conv_id long, turn long, order_turn long, order_kind int, n_calls long, n_answered long, linked boolean, n_invalid long, json string"
-TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+OPTIONS = {"allowNonNumericNumbers": "false"}
+TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces; half a surrogate pair stays an escape."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
-def valid(arguments, schema: dict | None) -> bool:
-    """Whether arguments (parsed) have all required fields and only known ones of their types."""
-    if schema is None or not isinstance(arguments, dict):
+def identifier(value) -> str | None:
+    """An identifier as the join knows it: a number is the text of its digits."""
+    return value if value is None or isinstance(value, str) else canonical(value)
+
+
+def fits(value, schema: dict) -> bool:
+    """Whether a value has one of the schema's types and enumerated values, and its parts fit theirs.
+
+    An object with listed properties has no others unless additionalProperties is true."""
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    if kinds and not any(isinstance(value, TYPES.get(k, ())) and (k == "boolean" or not isinstance(value, bool)) for k in kinds):
         return False
-    known = schema.get("properties", {})
-    if any(k not in arguments for k in schema.get("required", ())):
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return False
-    for k, v in arguments.items():
-        if k not in known:
+    if isinstance(value, dict):
+        known = schema.get("properties")
+        if any(k not in value for k in schema.get("required", ())):
             return False
-        kind = known[k].get("type")
-        if kind and not (isinstance(v, TYPES[kind]) and (kind == "boolean" or not isinstance(v, bool))):
+        if known is not None and schema.get("additionalProperties") is not True and any(k not in known for k in value):
             return False
+        return all(fits(v, known[k]) for k, v in value.items() if known and k in known)
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        return all(fits(v, schema["items"]) for v in value)
     return True
 
 
+def valid(arguments, schema: dict | None) -> bool:
+    """Whether arguments (parsed) are an object that fits the tool's schema; without a schema nothing does."""
+    return schema is not None and isinstance(arguments, dict) and fits(arguments, {"properties": {}} | schema)
+
+
 def parsed(text: str):
+    def never(name):
+        raise ValueError(name)
+
     try:
-        return json.loads(text)
+        return json.loads(text, parse_constant=never)
     except (ValueError, RecursionError):
         return None
 
@@ -73,9 +99,10 @@ def _writer(schemas: dict[str, dict]):
                             c = c if isinstance(c, dict) else {}
                             args = c.get("arguments")
                             args = parsed(args) if isinstance(args, str) else args
-                            ok = valid(args, schemas.get(c.get("name")))
+                            name = c.get("name")
+                            ok = valid(args, schemas.get(name) if isinstance(name, str) else None)
                             bad += not ok
-                            made.append({"id": c.get("id"), "name": c.get("name"), "arguments": args, "answered": c.get("id") in (r["answered"] or ()), "valid": ok})
+                            made.append({"id": c.get("id"), "name": name, "arguments": args, "answered": identifier(c.get("id")) in (r["answered"] or ()), "valid": ok})
                         message = {"role": role, "content": body.get("content"), "tool_calls": made}
                     elif isinstance(body, dict) and role == "tool":
                         message = {"role": role, "tool_call_id": body.get("tool_call_id"), "content": body.get("content")}
@@ -94,7 +121,7 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     m = m.withColumn("tooled", tooled)
     none = F.array().cast("array<string>")
     plain = m.where(~F.col("tooled")).select("*", F.col("turn").alias("order_turn"), F.lit(0).alias("order_kind"), F.lit(False).alias("linked"), none.alias("answered"))
-    tools = m.where("tooled").withColumn("made", F.from_json("text", CALLS)["tool_calls"]).withColumn("answers", F.from_json("text", ANSWER)["tool_call_id"])
+    tools = m.where("tooled").withColumn("made", F.from_json("text", CALLS, OPTIONS)["tool_calls"]).withColumn("answers", F.from_json("text", ANSWER, OPTIONS)["tool_call_id"])
     calls = tools.where("role = 'assistant'").select("conv_id", "turn", F.posexplode("made").alias("i", "c")).select("conv_id", F.col("c.id").alias("id"), F.struct("turn", "i").alias("at")).where("id is not null")
     calls = calls.groupBy("conv_id", "id").agg(F.min("at.turn").alias("call_turn"))
     results = tools.where("role = 'tool'")

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 WIDTH = 13
+#: Bytes of normalised benchmark text sent to the workers at once, some twenty times that in memory.
+BLOCK_BYTES = 8 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 HITS = "doc_id long, _d long, _t long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
@@ -117,10 +119,10 @@ def _scanner(block):
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, n_words, starts, ends, items = (batch.column(i).to_pylist() for i in range(5))
+        doc, n_words, starts, ends, items = (batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6))
         rows = [_digest(n, _spans([(a, b) for x, y in zip(s, e, strict=True) for a, b in zip(x, y, strict=True)]), {i for part in own for i in part}) for n, s, e, own in zip(n_words, starts, ends, items, strict=True)]
         hit, count, sha, bad = zip(*rows, strict=True) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())], names=[x.split()[0] for x in RESULT.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), batch.column(1), batch.column(2)], names=[x.split()[0] for x in RESULT.split(", ")] + ["_d", "_t"])
 
 
 def _blocks(items: Iterator, block_bytes: int) -> Iterator[list]:
@@ -135,7 +137,7 @@ def _blocks(items: Iterator, block_bytes: int) -> Iterator[list]:
         yield block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 64 << 20) -> list[DataFrame]:
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """Per block of the benchmark, each document's words, hit spans (in words) and items."""
     spark = docs.sparkSession
     keyed = _store.keyed(docs).select("doc_id", "_d", "_t", "text")
@@ -146,24 +148,66 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes:
     return out or [keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(Windows([], width)))), HITS)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 64 << 20) -> DataFrame:
-    """One row per document: words, words hit, items found, and whether a twentieth or more is hit."""
+def _contamination(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
     found = hits(docs, benchmark, width, block_bytes)
-    if len(found) == 1:
-        one = found[0].select("doc_id", "n_words", F.array("starts").alias("starts"), F.array("ends").alias("ends"), F.array("items").alias("items"))
-        return one.mapInArrow(_text.tidy(_finish), RESULT)
     keys = ["doc_id", "_d", "_t", "n_words"]
+    if len(found) == 1:
+        one = found[0].select(*keys, F.array("starts").alias("starts"), F.array("ends").alias("ends"), F.array("items").alias("items"))
+        return one.mapInArrow(_text.tidy(_finish), RESULT + ", _d long, _t long")
     # rows that repeat are numbered within each block alike only by their number, so count and restore them
     each = [f.groupBy(*keys).agg(F.first("starts").alias("s"), F.first("ends").alias("e"), F.first("items").alias("i"), F.count(F.lit(1)).alias("n")) for f in found]
     every = each[0]
     for f in each[1:]:
         every = every.unionByName(f)
     merged = every.groupBy(*keys).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"), F.collect_list("i").alias("items"), F.max("n").alias("n"))
-    again = merged.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "n_words", "starts", "ends", "items")
-    return again.mapInArrow(_text.tidy(_finish), RESULT)
+    again = merged.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*keys, "starts", "ends", "items")
+    return again.mapInArrow(_text.tidy(_finish), RESULT + ", _d long, _t long")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: words, words hit, items found, and whether a twentieth or more is hit."""
+    return _contamination(docs, benchmark, width, block_bytes).drop("_d", "_t")
+
 
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with all their columns: each row by its own text."""
+    d, t = _store.private(docs, 2)
+    bad = _contamination(docs, benchmark, width, block_bytes).where("contaminated").select(F.col("_d").alias(d), F.col("_t").alias(t))
+    marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return marked.join(bad, [d, t], "left_anti").select(*docs.columns)
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without the words that any benchmark window covers, with all their columns.
+
+    Each run of hit words goes with what stands between its words; the rest of the text stays as it is."""
+    found = hits(docs, benchmark, width, block_bytes)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    d, t, s, e = _store.private(docs, 4)
+    spans = every.where(F.size("starts") > 0).groupBy("_d", "_t").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("s"))
+    spans = spans.select(F.col("_d").alias(d), F.col("_t").alias(t), F.col("s.starts").alias(s), F.col("s.ends").alias(e))
+    marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce("text", F.lit("")))}).join(spans, [d, t], "left").drop(d, t)
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, starts, ends = (batch.column(batch.schema.get_field_index(c)) for c in ("text", s, e))
+            out = []
+            for text, a, b in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True):
+                raw = text.as_py()
+                if a:
+                    data = np.frombuffer(raw.encode(), np.uint8)
+                    begin, stop, _ = _text.words(_text.LOWER[data], np.array([0, len(data)]), _text.ALPHANUMERIC)
+                    left, here = [], 0
+                    for x, y in _spans(list(zip(a, b, strict=True))):
+                        left.append(data[here : begin[x]].tobytes())
+                        here = int(stop[y - 1])
+                    raw = (b"".join(left) + data[here:].tobytes()).decode()
+                out.append(raw)
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[names.index("text")] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.select(*docs.columns, s, e).mapInArrow(_text.tidy(run), docs.schema)

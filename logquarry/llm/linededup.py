@@ -119,31 +119,34 @@ def _places(docs: DataFrame, keys: DataFrame, min_length: int, hot: int) -> Data
     return found.where(F.col("owner") != F.col("_d")).groupBy("_d", "_t").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, hot: int = 2000, carry: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_dropped and text: each document without its boilerplate lines.
-
-    carry adds the other columns of docs (which must not be called n_lines or n_dropped)."""
+def _deduped(docs: DataFrame, carried: list[str], min_length: int, min_docs: int, batches: int, fanout: int, hot: int) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text and _o, a struct of the carried columns (and a filler)."""
     own = _store.keyed(docs)
     keys = _store.written(boilerplate(own, min_length, min_docs, batches, fanout), "boilerplate")
     drops = _places(own, keys, min_length, hot)
-    if carry:
-        others = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))) if len(docs.columns) > 2 else F.struct(F.lit(0).alias("_"))
-        own = docs.withColumns({"_o": others, "doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit("")), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))}).select("doc_id", "text", "_d", "_o").withColumn("_t", F.xxhash64("text"))
-    else:
-        own = own.withColumn("_o", F.struct(F.lit(0).alias("_")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _store.key_of("doc_id").alias("_d"), F.struct(F.lit(0), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("_o")).withColumn("_t", F.xxhash64("text"))
     none = F.array().cast("array<int>")
     both = own.join(drops, ["_d", "_t"], "left").select("doc_id", "_o", F.split("text", "\n", -1).alias("lines"), F.coalesce("drops", none).alias("drops"))
     begin = F.concat(F.array(F.lit(0)), F.transform("drops", lambda x: x + 1))
     end = F.concat(F.col("drops"), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(begin, end, lambda a, b: F.slice(F.col("lines"), a + 1, b - a)))
-    out = both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"), "_o")
-    return out.select("doc_id", "n_lines", "n_dropped", "text", "_o.*") if carry else out.drop("_o")
+    return both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"), "_o")
+
+
+def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, hot: int = 2000) -> DataFrame:
+    """doc_id, n_lines, n_dropped and text: each document without its boilerplate lines."""
+    return _deduped(docs, [], min_length, min_docs, batches, fanout, hot).drop("_o")
+
 
+def rewrite(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, hot: int = 2000) -> DataFrame:
+    """The documents with their texts deduplicated by line and n_chars to match, if they have it.
 
-def rewrite(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their texts deduplicated by line and n_chars to match, if they have it."""
-    out = dedup_lines(docs, carry=True, **options)
-    text = F.col("text")
+    A null text stays null."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = _deduped(docs, [*others, "text"], min_length, min_docs, batches, fanout, hot)
+    was = F.col("_o")[f"c{len(others)}"]
+    text = F.when(was.isNotNull(), F.col("text"))
+    found = {c: F.col("_o")[f"c{i}"] for i, c in enumerate(others)} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        found["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(found[c].alias(c) for c in docs.columns))

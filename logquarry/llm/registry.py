@@ -66,8 +66,6 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_decontamination, op4_token_files, op5_line_dedup, op6_language_id, op7_ngram_jaccard, op8_substring_dedup, op9_chat, op10_suffix_repeats)}
 
-_SPACE = r"[^\x20\x09-\x0D]+"
-
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -1,6 +1,7 @@
 """Plain one-process versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -56,7 +57,7 @@ def contamination(docs, items):
     return out
 
 
-def lines(docs):
+def kept_lines(docs):
     strip = " \t\n\x0b\x0c\r"
     rank = lambda d: -(2**63) if d is None else d
     held = defaultdict(list)
@@ -68,10 +69,14 @@ def lines(docs):
     for d, t in docs:
         own = (t or "").split("\n")
         kept = [x for x in own if not (len(held.get(k := x.strip(strip).translate(LOW), ())) >= 5 and max(held[k]) != rank(d))]
-        out.append((d, len(own), len(own) - len(kept), sha("\n".join(kept).encode())))
+        out.append((d, len(own), len(own) - len(kept), "\n".join(kept)))
     return out
 
 
+def lines(docs):
+    return [(d, n, gone, sha(t.encode())) for d, n, gone, t in kept_lines(docs)]
+
+
 def shingles(text):
     w = SPACE.findall((text or "").translate(LOW))
     n = min(5, len(w))
@@ -133,3 +138,69 @@ def strings(docs, width=200):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over bytes, by the book; top n-grams seen once discount to nothing."""
+
+    def __init__(self, texts, order=5):
+        self.order = order
+        self.counts = [None] * (order + 1)
+        self.counts[order] = Counter(g for t in texts for g in self.grams(t))
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts, self.context, self.back = [None], [None], [None]
+        for k in range(1, order + 1):
+            t = Counter(self.counts[k].values())
+            y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
+            d = [0] + [min(0.95 * i, max(0.05 * i, i - (i + 1) * y * t[i + 1] / t[i] if t[i] else 0.5 * i)) for i in (1, 2, 3)]
+            d[1] = 1.0 if k == order else d[1]
+            self.discounts.append(d)
+            context, back = Counter(), Counter()
+            for g, n in self.counts[k].items():
+                context[g[:-1]] += n
+                back[g[:-1]] += d[min(n, 3)]
+            self.context.append(context)
+            self.back.append(back)
+
+    def grams(self, text):
+        b = b"\2" * (self.order - 1) + text.encode().translate(SPACES)
+        return [b[i : i + self.order] for i in range(len(b) - self.order + 1)]
+
+    def p(self, g):
+        k = len(g)
+        if k == 0:
+            return 1 / 256
+        h = g[:-1]
+        if not self.context[k][h]:
+            return self.p(g[1:])
+        n = self.counts[k][g]
+        return ((n - self.discounts[k][min(n, 3)] if n else 0) + self.back[k][h] * self.p(g[1:])) / self.context[k][h]
+
+
+def quality(rows, spread=4.0):
+    """(doc_id, kept) of rows (doc_id, text, lang)."""
+    langs = defaultdict(set)
+    for _, t, lang in rows:
+        if t is not None:
+            langs[lang or ""].add(t)
+    models = {x: KneserNey(sorted(own)) for x, own in langs.items()}
+    seen = {}
+
+    def score(t, lang):
+        if (t, lang) not in seen:
+            own = [math.log(models[lang].p(g)) for g in models[lang].grams(t)]
+            seen[t, lang] = -sum(own) / len(own)
+        return seen[t, lang]
+
+    bands = {}
+    for lang, own in langs.items():
+        s = sorted(score(t, lang) for t in own if t and not base(t)[-1])
+        q = [s[max(0, math.ceil(p * len(s)) - 1)] for p in (0.1, 0.5, 0.9)] if s else [0, 0, 0]
+        bands[lang] = q[1] - spread * (q[1] - q[0]) - 1e-5, q[1] + spread * (q[2] - q[1]) + 1e-5
+    kept = lambda t, lang: bool(t) and not base(t)[-1] and bands[lang][0] <= score(t, lang) <= bands[lang][1]
+    return [(d, kept(t, lang or "")) for d, t, lang in rows]
+

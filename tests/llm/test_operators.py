@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on the small tables and on odd rows."""
 
+import math
 import os
 from collections import defaultdict
 
@@ -89,11 +90,29 @@ def test_quality_copies_have_one_vote(spark, options):
     assert all(found[d]["kept"] for d, _, _ in own + copies)  # copies are not junk either
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, "abab abba baab abab bbaa" * (1 + i), "x") for i in range(4)], "doc_id long, text string, lang string")
-    found = quality.model(docs, order=5).toPandas()
-    mass = np.exp(found["logp"]).groupby(found["g"] // 256).sum()
-    assert (mass <= 1.0001).all() and mass.max() > 0.9
+def test_kneser_ney(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join("".join(rng.choice(list("abcdé"), int(rng.integers(1, 6)))) for _ in range(30)), "xy"[i % 2]) for i in range(30)]
+    counts = quality.gram_counts(spark.createDataFrame([*texts, *texts[:5], (99, None, "x")], "doc_id long, text string, lang string"))
+    here, there = quality.local_model(counts), defaultdict(dict)
+    for r in quality.model(counts).collect():
+        there[r["lang"]][r["g"]] = r["logp"]
+    for lang in "xy":
+        want = brute.KneserNey([t for _, t, x in texts if x == lang])
+        g, p = here[lang]
+        assert len(g) == len(want.counts[5]) == len(there[lang])
+        for code, logp in zip(g.tolist(), p.tolist(), strict=True):
+            exact = math.log(want.p(code.to_bytes(5, "big")))
+            assert abs(exact - logp) < 1e-4 and abs(exact - there[lang][code]) < 1e-4
+        for h in {x[:-1] for x in want.counts[5]}:
+            assert abs(sum(want.p(h + bytes([c])) for c in range(256)) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_grams": 0}])
+def test_quality_kept(documents, options):
+    some = documents.select("doc_id", "text", "lang").where("lang in ('en', 'fr') or lang is null")
+    data = [tuple(r) for r in some.collect()]
+    assert rows(quality.judge(some, **options), "doc_id", "kept") == sorted(brute.quality(data), key=key)
 
 
 def test_decontamination(docs, benchmark_table):
@@ -259,3 +278,116 @@ def test_chat(spark):
     assert found[0]["json"] == '{"content":"hi \\"you\\"\\n","role":"user"}'
     assert '"arguments":{"limit":3,"query":"x"}' in found[1]["json"]
     assert chat.format_chats(df.limit(0)).count() == 0
+    assert found[1]["json"].count('"answered":true') == 1
+
+
+def test_chat_odd_messages(spark):
+    """Names that are no strings, half surrogates, numbers as identifiers, what is not JSON, schemas of all kinds."""
+    call = lambda id, name, arguments: '{"content": "\\ud800", "tool_calls": [{"id": %s, "name": %s, "arguments": %s}]}' % (id, name, arguments)  # noqa: E731, UP031
+    data = [(1, 0, "assistant", call(1, '["x"]', "{}")), (1, 1, "tool", '{"tool_call_id": 1, "content": "\\udc00 x"}'), (1, 2, "assistant", call('"n"', '"t"', '{"a": NaN}')),
+            (1, 3, "assistant", call('"b"', '"t"', '{"a": null, "b": [1, "x"], "c": {"d": 2}}')), (1, 4, "assistant", call('"c"', '"t"', '{"a": 3, "b": [true]}')), (None, 5, "tool", '{"tool_call_id": "b", "content": 1}')]
+    schema = {"t": {"properties": {"a": {"type": ["null", "string"]}, "b": {"type": "array", "items": {"type": ["integer", "string"], "enum": [1, "x"]}}, "c": {"properties": {"d": {"type": "integer"}}, "required": ["d"]}}}}
+    found = {r["turn"]: r for r in chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), schema).collect()}
+    assert [(found[t]["n_calls"], found[t]["n_answered"], found[t]["n_invalid"], found[t]["linked"]) for t in range(6)] == [
+        (1, 1, 1, False), (0, 0, 0, True), (0, 0, 0, False), (1, 0, 0, False), (1, 0, 1, False), (0, 0, 0, False)]
+    assert '"answered":true' in found[0]["json"] and '"content":"\\ud800"' in found[0]["json"]
+    assert found[2]["json"].startswith('{"content":"{')
+
+
+def test_fetch(documents, tmp_path):
+    path = str(tmp_path / "t")
+    tokenfile.write(documents, path, shards=3)
+    wanted = [3, 77, 78, 150, 10**6]
+    own = [(d, t) for d, t in pairs(documents) if d in wanted]
+    found = {r["doc_id"]: r["ids"] for r in tokenfile.fetch(documents.sparkSession, path, wanted).collect()}
+    assert found == {d: ids for (d, _), ids in zip(own, brute.tokens([t for _, t in own], 2), strict=True)}
+    assert tokenfile.fetch(documents.sparkSession, path, []).count() == 0
+
+
+def test_simple8b_parts():
+    rng = np.random.default_rng(6)
+    ids = (rng.integers(0, 2**63, 9000).astype(np.uint64) << np.uint64(1)) >> rng.choice([0, 2, 40, 50, 60], 9000).astype(np.uint64)
+    words = tokenfile.encode(ids)
+    offsets = tokenfile.block_offsets(words)
+    for a, b in rng.integers(0, 9001, (300, 2)):
+        a, b = min(a, b), max(a, b)
+        assert tokenfile.part(words, offsets, int(a), int(b)).tolist() == ids[a:b].tolist()
+
+
+def test_interval_tree_of_random_texts():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        texts = ["".join(rng.choice(list("ab"), int(rng.integers(0, 30)))).encode() for _ in range(3)]
+        want = defaultdict(set)
+        for t, x in enumerate(texts):
+            for i in range(len(x)):
+                for n in range(3, len(x) - i + 1):
+                    want[x[i : i + n]].add((t, i))
+        def maximal(s, own):
+            left = {texts[t][i - 1] if i else -1 - t - 100 * i for t, i in own}
+            right = {texts[t][i + len(s)] if i + len(s) < len(texts[t]) else -1 - t for t, i in own}
+            return len(own) > 1 and (len(left) > 1 or min(left) < 0) and (len(right) > 1 or min(right) < 0)
+        exact = sorted((len(s), sorted(own)) for s, own in want.items() if maximal(s, own))
+        assert sorted(repeats.maximal_repeats(texts, 3)) == exact
+
+
+def test_removing_spans(spark, benchmark_table):
+    item = max((r["text"] for r in benchmark_table.collect()), key=len).rstrip(" .!?")
+    docs = spark.createDataFrame([(1, f"Before, this. {item.upper()}! after it", "k"), (1, "clean text", "k"), (2, None, "k")], "doc_id long, text string, _d string")
+    out = decontam.cut_spans(docs, benchmark_table)
+    assert out.columns == docs.columns
+    found = rows(out, "doc_id", "text")
+    assert found == [(1, "Before, this. ! after it"), (1, "clean text"), (2, None)]
+
+
+def clashing(docs):
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({c: F.lit("own") for c in ("_gone", "_bad", "_spare", "n_lines", "_p0", "_P1", "_t", "_o", "first", "kept", "component", "starts")})
+
+
+def test_stages_keep_rows_and_columns(spark, documents, benchmark_table):
+    """Each row goes by itself, whatever shares its id; all columns stay as they are."""
+    from pyspark.sql import functions as F
+
+    item = max((r["text"] for r in benchmark_table.collect()), key=len)
+    good = [r["text"] for r in documents.where("lang = 'en' and length(text) > 600").orderBy("doc_id").limit(12).collect()]
+    data = [(i, t, "en", "s", 0) for i, t in enumerate(good)] + [(0, "x " * 50, "en", "s", 0), (1, item + " tail", "en", "s", 0), (2, None, None, None, None), (2, good[3] + " end", "en", "s", 0), (4, good[4], "en", "s", 0)]
+    docs = clashing(spark.createDataFrame(data, documents.schema))
+    mine = [(d, t) for d, t, *_ in data]
+
+    def same(out, want):
+        assert out.columns == docs.columns
+        assert rows(out, "doc_id", "text") == sorted(want, key=key)
+        assert {r[0] for r in out.select("_gone").collect()} <= {"own"}
+
+    kept = dict(zip(range(len(data)), brute.quality([(d, t, lang) for d, t, lang, *_ in data]), strict=True))
+    same(quality.keep(docs), [mine[i] for i, (_, k) in kept.items() if k])
+    hit = brute.contamination(mine, [(r["item_id"], r["text"]) for r in benchmark_table.collect()])
+    same(decontam.remove(docs, benchmark_table), [x for x, h in zip(mine, hit, strict=True) if not h[-1]])
+    same(linededup.rewrite(docs), [(d, None if t is None else x[3]) for (d, t), x in zip(mine, brute.kept_lines(mine), strict=True)])
+    groups = defaultdict(list)
+    for i, (d, t) in enumerate(mine):
+        groups[brute.jaccard(mine)[i][2] if t else ("none", i)].append((d, t))
+    one = jaccard.keep_one(docs)
+    found = rows(one, "doc_id", "text")
+    assert len(found) == len(groups) and all(sum(x in own for x in found) >= 1 for own in groups.values())
+    same(one.withColumn("n_chars", F.lit(0)).select(*docs.columns), found)
+
+
+def test_texts_longer_than_a_block(spark):
+    """One text beyond slices and blocks, in every operator on texts."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(4000)]
+    long = " ".join(rng.choice(words, 1_400_000))
+    docs_ = [(1, long[: 9 << 20]), (2, "short text"), (3, long[1000:5000]), (4, long[(5 << 20) : (5 << 20) + 3000])]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in docs_], "doc_id long, text string, lang string").coalesce(1)
+    assert rows(windows.dedup_windows(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.windows(docs_))
+    found = rows(repeats.remove_repeats(docs), "doc_id", "n_bytes", "n_removed")
+    assert [x[1] for x in found] == [len(t) for _, t in docs_] and found[2][2] == 4000 and found[3][2] == 3000 and found[1][2] == 0
+    assert [x[1] for x in rows(jaccard.similar(docs), "doc_id", "n_shingles", "component_id")] == [len(brute.shingles(t)) for _, t in docs_]
+    assert rows(quality.judge(docs), "doc_id", "n_words")[0][1] == len(docs_[0][1].split())
+    assert {r["lang_pred"] for r in langid.identify(docs, {"en": b"abc abd"}).collect()} == {"en"}
+    ids = brute.tokens([t for _, t in docs_], 0)
+    packed = packing.pack(docs).collect()
+    assert sum(r["length"] for r in packed) == sum(map(len, ids)) and {r["doc_tokens"] for r in packed if r["doc_id"] == 1} == {len(ids[0])}
