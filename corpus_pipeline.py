@@ -4,12 +4,17 @@ Quality rules drop the documents they reject; line deduplication rewrites the te
 n-gram Jaccard join keeps the first document of each component; decontamination drops the
 contaminated documents; packing lays out what is left in training sequences.  Every stage
 but the last returns the columns of documents.
+
+A null text is rejected by the first stage, as is an empty one; very long texts pass whole.
+Rows that repeat are judged each, and one of them stays after the Jaccard join; of rows with
+one id and different texts each goes by its own text.  Ties between linked documents go to the
+least id, then the least text hash.  An empty table yields no rows at every stage.  Extra
+columns travel with their rows, whatever their names; packing returns its own columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logquarry.llm import decontam, jaccard, linededup, packing, quality
 from logquarry.llm._store import scratch
@@ -43,7 +48,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: A language model and token ids are beyond SQL; the tests compare the operators, not run() or its stages.
+#: A language model and token ids are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
