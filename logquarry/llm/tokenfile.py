@@ -98,8 +98,10 @@ def encode(ids: np.ndarray) -> np.ndarray:
             reach += more
         if not len(widest):
             break
-        fits = widest <= WIDTHS[s]
-        choice[: len(fits)][fits & open_[: len(fits)]] = s
+        fits = (widest <= WIDTHS[s]) & open_[: len(widest)]
+        if not fits.any():
+            break  # more ids of fewer bits fit even less
+        choice[: len(fits)][fits] = s
     step = np.array(COUNTS, np.int64)[choice]
     if huge.any():  # no word but the escape may hold one
         choice[huge] = ESCAPE

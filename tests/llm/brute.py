@@ -83,9 +83,9 @@ def shingles(text):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset()
 
 
-def jaccard(docs):
+def roots(docs):
+    """Each document's component, by the number of one of its documents."""
     sets = [shingles(t) for _, t in docs]
-    rank = [-(2**63) if d is None else d for d, _ in docs]
     parent = list(range(len(docs)))
 
     def find(i):
@@ -104,11 +104,16 @@ def jaccard(docs):
     for (a, b), n in common.items():
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
             parent[find(a)] = find(b)
-    least = {}
-    for i in range(len(docs)):
-        least[find(i)] = min(least.get(find(i), rank[i]), rank[i])
+    return [find(i) for i in range(len(docs))]
+
+
+def jaccard(docs):
+    rank = [-(2**63) if d is None else d for d, _ in docs]
+    least, root = {}, roots(docs)
+    for r, x in zip(root, rank, strict=True):
+        least[r] = min(least.get(r, x), x)
     real = lambda x: None if x == -(2**63) else x
-    return [(d, len(sets[i]), real(least[find(i)])) for i, (d, _) in enumerate(docs)]
+    return [(d, len(shingles(t)), real(least[r])) for (d, t), r in zip(docs, root, strict=True)]
 
 
 def windows(docs, width=20):
