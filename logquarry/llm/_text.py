@@ -47,10 +47,19 @@ def release() -> None:
         _trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: What a task may leave for the next one of its kind; tasks of other kinds drop it.
+kept: dict = {}
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
     """A task's function that ends by releasing what it used."""
 
     def inner(batches: Iterator) -> Iterator:
+        from logquarry.llm import _text
+
+        if not keeps and _text.kept:
+            _text.kept.clear()
+            release()
         try:
             yield from run(batches)
         finally:

@@ -127,7 +127,7 @@ def packer(path: str | None, capacity: int, max_piece: int, group: int, end_id:
                     whole = []
         yield flush(whole + dealt(rest))
 
-    return _text.tidy(run)
+    return _text.tidy(run, keeps=True)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, max_piece: int = 256, group: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

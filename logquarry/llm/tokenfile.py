@@ -197,7 +197,7 @@ def _writer(path: str | None, end_id: int):
         if docs:
             yield flush()
 
-    return _text.tidy(run)
+    return _text.tidy(run, keeps=True)
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shards: int | None = None) -> None:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from . import _text
 
 #: Parts that a worker remembers in each of two generations; those of the older one that are not met again go.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # Fixed value: the pattern by which the tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters beyond these are left to the library, whose tables of letters may differ.
@@ -158,12 +158,9 @@ class Encoder:
             i = j
 
 
-_encoders: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder: what one task has learnt serves the next."""
     _text.release()  # what other operators left in this worker
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in _text.kept:
+        _text.kept[path] = Encoder(path)
+    return _text.kept[path]
