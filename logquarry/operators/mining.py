@@ -2,9 +2,10 @@
 
 Training is sequential by nature but reads at most `sample` lines of a file; it runs as one
 task per file.  Its result, templates and tree nodes, is a pair of small tables; matching is
-joins and column expressions.  Lines whose masked prefix is a path of the tree (nearly all)
-are resolved by an equi-join.  For the distinct prefixes that are not, the wildcard fallback
-walks the tree in tasks keyed by file and salt, so a file with a third of all rows spreads.
+joins and column expressions.  A tree of bounded size is broadcast and walked level by level
+with the lines where they are, so no line is shuffled and a file with a third of all rows
+stays spread.  A larger tree is joined by file and masked prefix; the distinct prefixes that
+are no path of it walk the tree in tasks keyed by file and salt.
 """
 
 from __future__ import annotations
@@ -153,19 +154,42 @@ def variables(template: str, toks: str):
     return F.transform(F.filter(both, lambda z: z["v"]), lambda z: z["x"])
 
 
-def match(lines: DataFrame, model: Model, head: int = HEAD_LENGTH, small: int = 200_000) -> DataFrame:
-    """lines with header, content, eid (-1: too few tokens, 0: no template), template and vars."""
-    rows = parsed(lines, head).withColumn("prefix", F.array_join(F.transform(F.slice("content", 1, model.depth), mask), SEP))
+def _walked(rows: DataFrame, model: Model) -> DataFrame:
+    """rows with tid: the exact branch of each level, else the wildcard's, in broadcast joins alone."""
+    now = rows.withColumns({"_path": F.when(F.size("keys") > 0, ""), "tid": F.lit(None).cast("int")})
+    for level in range(model.depth):
+        key = F.try_element_at("keys", F.lit(level + 1))
+        step = lambda k, level=level: k if level == 0 else F.concat("_path", F.lit(SEP), k)
+        now = now.withColumns({"_x": F.when(F.col("_path").isNotNull(), step(key)), "_w": F.when(F.col("_path").isNotNull() & key.isNotNull(), step(F.lit(WILDCARD)))})
+        for column, tid, known in (("_x", "_tx", "_kx"), ("_w", "_tw", "_kw")):
+            found = model.nodes.select("file", F.col("path").alias(column), F.col("tid").alias(tid), F.lit(True).alias(known))
+            now = now.join(F.broadcast(found), ["file", column], "left")
+        deeper = F.size("keys") > level
+        path = F.when(F.col("_kx"), F.col("_x")).when(F.col("_kw"), F.col("_w"))
+        tid = F.when(F.col("_kx"), F.col("_tx")).when(F.col("_kw"), F.col("_tw"))
+        now = now.withColumns({"_path": F.when(deeper, path).otherwise(F.col("_path")), "tid": F.when(deeper, tid).otherwise(F.col("tid"))}).drop("_x", "_w", "_tx", "_tw", "_kx", "_kw")
+    return now.drop("_path")
+
+
+def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """rows with tid, by joins on file and masked prefix; the prefixes that are no path walk the tree."""
+    rows = rows.withColumn("prefix", F.array_join("keys", SEP))
     nodes = model.nodes.withColumnRenamed("tid", "exact").withColumn("known", F.lit(True))
-    few = nodes.count() <= small  # a table of the model, bounded by sample lines and depth per file
-    hint = F.broadcast if few else (lambda d: d)
-    joined = rows.join(hint(nodes.withColumnRenamed("path", "prefix")), ["file", "prefix"], "left")
-    lost = rows.where(F.size("content") > 0).select("file", "prefix").distinct().join(hint(nodes.select("file", F.col("path").alias("prefix"))), ["file", "prefix"], "left_anti")
+    joined = rows.join(nodes.withColumnRenamed("path", "prefix"), ["file", "prefix"], "left")
+    lost = rows.where(F.size("content") > 0).select("file", "prefix").distinct().join(nodes.select("file", F.col("path").alias("prefix")), ["file", "prefix"], "left_anti")
     salted = lost.withColumn("salt", F.pmod(F.hash("prefix"), F.lit(SALTS)))
     copies = model.nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     walked = copies.groupBy("file", "salt").cogroup(salted.groupBy("file", "salt")).applyInPandas(_fallback, "file string, prefix string, walked int").where("walked is not null")
     joined = joined.join(walked, ["file", "prefix"], "left")
-    joined = joined.withColumn("tid", F.when(F.col("known"), F.col("exact")).otherwise(F.col("walked")))
+    return joined.withColumn("tid", F.when(F.col("known"), F.col("exact")).otherwise(F.col("walked")))
+
+
+def match(lines: DataFrame, model: Model, head: int = HEAD_LENGTH, small: int = 200_000) -> DataFrame:
+    """lines with header, content, eid (-1: too few tokens, 0: no template), template and vars."""
+    rows = parsed(lines, head).withColumn("keys", F.transform(F.slice("content", 1, model.depth), mask))
+    few = model.nodes.count() <= small  # a table of the model, bounded by sample lines and depth per file
+    hint = F.broadcast if few else (lambda d: d)
+    joined = _walked(rows, model) if few else _looked_up(rows, model)
     joined = joined.join(hint(model.templates.withColumnRenamed("tokens", "template")), ["file", "tid"], "left")
     ok = (F.size("content") > 0) & F.col("template").isNotNull() & (similarity("template", "content") >= model.similarity)
     eid = F.when(F.size("toks") < head, -1).when(ok, F.col("tid")).otherwise(0)

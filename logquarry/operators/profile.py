@@ -13,20 +13,38 @@ KEY = ["file", "kind", "tid", "col"]
 
 def long_columns(matched: DataFrame) -> DataFrame:
     """(file, kind, tid, col, line_no, value): header fields of lines that have them, variables of matched lines."""
-    heads = matched.where("eid >= 0").select("file", "line_no", F.posexplode("header").alias("col", "value")).select("file", F.lit("header").alias("kind"), F.lit(0).alias("tid"), "col", "line_no", "value")
-    own = matched.where("eid > 0").select("file", "line_no", F.col("eid").alias("tid"), F.posexplode("vars").alias("col", "value")).select("file", F.lit("var").alias("kind"), "tid", "col", "line_no", "value")
-    return heads.unionByName(own)
+    none = F.array().cast("array<struct<kind:string,tid:int,col:int,value:string>>")
+    cells = lambda c, kind, tid: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), tid.cast("int").alias("tid"), i.alias("col"), x.alias("value")))
+    heads = F.when(F.col("eid") >= 0, cells("header", "header", F.lit(0))).otherwise(none)
+    own = F.when(F.col("eid") > 0, cells("vars", "var", F.col("eid"))).otherwise(none)
+    return matched.select("file", "line_no", F.explode(F.concat(heads, own)).alias("c")).select("file", "c.kind", "c.tid", "c.col", "line_no", "c.value")
 
 
-def with_deltas(columns: DataFrame, key: list[str] = KEY, chunk_lines: int | None = None) -> DataFrame:
-    """columns with v (whole numbers in canonical form) and d (the difference to the value before).
+CHUNK_LINES = 1_000_000
 
-    With chunk_lines the differences start anew in each chunk of lines, and no task has to
-    sort more than a chunk of one column."""
+
+def _chunk(chunk_lines: int):
+    return F.floor(F.col("line_no") / chunk_lines)
+
+
+def with_deltas(columns: DataFrame, key: list[str] = KEY, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """columns with v (whole numbers in canonical form) and d (the difference to the value before, 0 before the first).
+
+    A task sorts a chunk of lines of one column at most; the last value of a chunk, one row,
+    is carried to the next that has lines."""
     v = F.when(F.col("value").rlike(CANONICAL), F.col("value").try_cast("long"))
-    by = [*key, F.floor(F.col("line_no") / chunk_lines)] if chunk_lines else key
-    before = F.lag("v", 1, 0).over(Window.partitionBy(*by).orderBy("line_no"))
-    return columns.withColumn("v", v).withColumn("d", F.try_subtract(F.col("v"), before))
+    rows = columns.withColumns({"v": v, "_chunk": _chunk(chunk_lines)})
+    ends = rows.groupBy(*key, "_chunk").agg(F.max_by("v", "line_no").alias("_last"))
+    ends = ends.select(*key, "_chunk", F.lag(F.struct("_last")).over(Window.partitionBy(*key).orderBy("_chunk")).alias("_ahead"))
+    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_chunk").alias("_kc"), F.when(F.col("_ahead").isNull(), F.lit(0)).otherwise(F.col("_ahead._last")).alias("_ahead"))
+    inner = Window.partitionBy(*key, "_chunk").orderBy("line_no")
+    rows = rows.withColumn("_before", F.lag(F.struct("v")).over(inner))
+    same = F.col("_chunk") == F.col("_kc")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = rows.join(ends, same)
+    before = F.when(F.col("_before").isNull(), F.col("_ahead")).otherwise(F.col("_before.v"))
+    return both.select(*columns.columns, "v", F.try_subtract(F.col("v"), before).alias("d"))
 
 
 def entropies(columns: DataFrame, value: str, key: list[str] = KEY) -> DataFrame:
@@ -37,19 +55,23 @@ def entropies(columns: DataFrame, value: str, key: list[str] = KEY) -> DataFrame
     return total.select(*key, (F.log2("_n") - F.col("_b") / F.col("_n")).alias("shannon"), ((F.log2("_n") * F.col("_w") - F.col("_wb")) / F.col("_n")).alias("weighted"))
 
 
-def profile(columns: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """n, n_distinct, distinct ratio, entropies of values and differences, and the chosen encoding.
+def profile(columns: DataFrame, key: list[str] = KEY, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """One count of values and differences gives all: n, n_distinct, distinct ratio, entropies of values and differences, and the chosen encoding.
 
     Delta first (canonical whole numbers whose differences weigh no more, none below -1), then a
     dictionary (at least three rows, less than half of them distinct), else raw."""
-    counts = columns.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("c"))
-    basic = counts.groupBy(*key).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
-    numbers = with_deltas(columns, key)
-    whole = numbers.groupBy(*key).agg(F.bool_and(F.col("v").isNotNull() & F.col("d").isNotNull()).alias("all_int"), F.min("v").alias("low"), F.max("v").alias("high"), F.min("d").alias("low_d"))
-    whole_rows = numbers.where("v is not null and d is not null")
-    hv = entropies(whole_rows, "v", key).select(*key, F.col("weighted").alias("hv"))
-    hd = entropies(whole_rows, "d", key).select(*key, F.col("weighted").alias("hd"))
-    out = basic.join(whole, key).join(hv, key, "left").join(hd, key, "left")
+    rows = with_deltas(columns, key, chunk_lines).withColumn("_ok", F.col("d").isNotNull())
+    both = rows.select(*key, "_ok", F.explode(F.array(F.struct(F.lit("v").alias("w"), F.col("value").alias("x")), F.struct(F.lit("d").alias("w"), F.col("d").cast("string").alias("x")))).alias("c"))
+    counts = both.groupBy(*key, F.col("c.w").alias("w"), F.col("c.x").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.count_if("_ok").alias("ok"))
+    number = F.when(F.col("x").rlike(CANONICAL), F.col("x").try_cast("long"))
+    counts = counts.withColumn("i", number).withColumn("weight", F.when(F.col("ok") > 0, entropy_weight(F.col("i").cast("double"))))
+    of = lambda w, x: F.when(F.col("w") == w, x)
+    bits = F.when(F.col("ok") > 0, F.col("ok") * F.log2("ok"))
+    sums = [F.sum(of("v", F.col("c"))).alias("n"), F.count(of("v", F.lit(1))).alias("n_distinct"), F.min(of("v", F.col("i"))).alias("low"), F.max(of("v", F.col("i"))).alias("high"), F.min(of("d", F.col("i"))).alias("low_d")]
+    for w in "vd":
+        sums += [F.sum(of(w, F.col("ok"))).alias(f"n{w}"), F.sum(of(w, F.col("ok") * F.col("weight"))).alias(f"w{w}"), F.sum(of(w, bits * F.col("weight"))).alias(f"b{w}")]
+    entropy = lambda w: F.when(F.col(f"n{w}") > 0, (F.log2(f"n{w}") * F.col(f"w{w}") - F.col(f"b{w}")) / F.col(f"n{w}"))
+    out = counts.groupBy(*key).agg(*sums).withColumns({"all_int": F.col("nv") == F.col("n"), "hv": entropy("v"), "hd": entropy("d")})
     ratio = F.col("n_distinct") / F.col("n")
     delta = F.col("all_int") & (F.col("n") > 2) & (F.col("low") >= -1) & (F.col("low_d") >= -1) & (F.col("high") < 2**63 - 1) & (F.col("hd") <= F.col("hv") + 1e-9)
     encoding = F.when(delta, "delta").when((F.col("n") >= 3) & (ratio < DICTIONARY_BELOW), "dict").otherwise("raw")
@@ -70,9 +92,17 @@ def dict_decode(codes: DataFrame, dictionary: DataFrame, key: list[str] = KEY) -
     return codes.join(dictionary, [*key, "code"]).select(*key, "line_no", "value")
 
 
-def delta_decode(deltas: DataFrame, key: list[str] = KEY) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select(*key, "line_no", F.sum("d").over(w).alias("v"))
+def delta_decode(deltas: DataFrame, key: list[str] = KEY, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """The values of differences: sums within chunks of lines, and before them the sums of the chunks ahead."""
+    rows = deltas.select(*key, "line_no", "d", _chunk(chunk_lines).alias("_chunk"))
+    total = rows.groupBy(*key, "_chunk").agg(F.sum("d").alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    total = total.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_chunk").alias("_kc"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    same = F.col("_chunk") == F.col("_kc")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inner = Window.partitionBy(*key, "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_v", F.sum("d").over(inner)).join(total, same).select(*key, "line_no", (F.col("_v") + F.col("_ahead")).alias("v"))
 
 
 def header_schema(lines: DataFrame, sample: int = 1000, head: int = 5) -> DataFrame:

@@ -17,6 +17,8 @@ class Sampling:
     threshold: float = 5.0
     seed: int = 42
     rounds: int = 200
+    #: Points clustered on the driver at once, whatever the rate; all points are still assigned.
+    most: int = 2000
 
 
 def windows(events: DataFrame, length: int = 20) -> DataFrame:
@@ -33,16 +35,16 @@ def term_counts(seqs: DataFrame) -> DataFrame:
 def weights(counts: DataFrame, seqs: DataFrame) -> DataFrame:
     """(file, eid, idf, weight): weight is the logistic of idf less its mean over all ids up to the largest, unused ones as 0."""
     n = seqs.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy("file", "eid").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "file")
+    df = counts.groupBy("file", "eid").agg(F.count(F.lit(1)).alias("df")).join(n, "file")
     idf = df.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)))
     mean = idf.groupBy("file").agg((F.sum("idf") / (F.max("eid") + 1)).alias("mean"))
-    return idf.join(F.broadcast(mean), "file").select("file", "eid", "idf", (1 / (1 + F.exp(F.col("mean") - F.col("idf")))).alias("weight"))
+    return idf.join(mean, "file").select("file", "eid", "idf", (1 / (1 + F.exp(F.col("mean") - F.col("idf")))).alias("weight"))
 
 
 def vectors(seqs: DataFrame) -> DataFrame:
     """(file, win, eid, x): the non-zero coordinates of each window."""
     counts = term_counts(seqs)
-    return counts.join(F.broadcast(weights(counts, seqs)), ["file", "eid"]).select("file", "win", "eid", (F.col("tf") * F.col("weight")).alias("x"))
+    return counts.join(weights(counts, seqs), ["file", "eid"]).select("file", "win", "eid", (F.col("tf") * F.col("weight")).alias("x"))
 
 
 def distance(a: str, b: str):
@@ -53,14 +55,18 @@ def nearest(points: DataFrame, centers: DataFrame, threshold: float) -> DataFram
     """points (id, v) with the nearest of few centres (c, center) closer than threshold, ties to the first.
 
     centers is the model (at most a few thousand rows), sent to every task."""
-    both = points.join(F.broadcast(centers), distance("v", "center") < threshold)
-    return both.groupBy("id").agg(F.min(F.struct(distance("v", "center").alias("d"), "c")).alias("m")).select("id", F.col("m.c").alias("c"), F.col("m.d").alias("d"))
+    known = centers.agg(F.sort_array(F.collect_list(F.struct("c", "center"))).alias("_known"))  # one row
+    away = F.transform("_known", lambda k: F.struct(distance("v", k["center"]).alias("d"), k["c"].alias("c")))
+    both = points.join(F.broadcast(known)).select("id", F.array_min(F.filter(away, lambda x: x["d"] < threshold)).alias("m"))
+    return both.where("m is not null").select("id", F.col("m.c").alias("c"), F.col("m.d").alias("d"))
 
 
 def complete_linkage(x: np.ndarray, threshold: float) -> list[list[int]]:
     """Clusters by merging the closest pair (largest distance between members) while within threshold."""
     n = len(x)
-    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)) if n else np.zeros((0, 0))
+    far = np.zeros((n, n))
+    for i in range(0, n, 16):  # a few rows at a time: the differences of all would take the number of dimensions times as much
+        far[i : i + 16] = np.sqrt(((x[i : i + 16, None, :] - x[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(far, np.inf)
     far[np.tril_indices(n)] = np.inf
     members: dict[int, list[int]] = {i: [i] for i in range(n)}
@@ -81,7 +87,7 @@ def cluster(points: DataFrame, options: Sampling) -> tuple[DataFrame, DataFrame
     """(assigned (id, c), centers): samples of bounded size are clustered on the driver, the rest is
     assigned to the nearest centre in parallel; rounds go on while more than a sample is left."""
     spark, centers, left, n = points.sparkSession, [], points, points.count()
-    size = min(max(int(n * options.rate), options.candidates), n, 2000)
+    size = min(max(int(n * options.rate), options.candidates), n, options.most)
     table, idle = None, 0
     while idle <= options.rounds:
         rest = left.count()

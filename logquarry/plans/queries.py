@@ -366,6 +366,6 @@ def balanced_sample(spark, d):
 
 
 def _threshold(spark, d) -> float:
-    p = _points(spark, d).where("id < 50")
-    pairs = p.join(F.broadcast(p.where("id = 0").select(F.col("v").alias("w"))))
-    return pairs.agg(F.avg(sequences.distance("v", "w"))).first()[0] or 1.0
+    """The root mean square distance between two points: twice the mean square distance from the mean, of all points."""
+    cells = _points(spark, d).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s"))
+    return float((2 * (cells.agg(F.sum("s")).first()[0] or 0.5)) ** 0.5)

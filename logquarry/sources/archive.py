@@ -1,6 +1,6 @@
 """Columnar log archives: a directory of Parquet tables that restores every line exactly.
 
-    entries         one row per file: lines, bytes, crc32 sum, chunks, size of a chunk
+    entries         one row per file: lines, bytes, sum of crc32 over lines with their numbers, chunks, size of a chunk
     header_schema   inferred header fields        templates   event templates in use
     column_profile  statistics and encoding       dictionaries   values by code
     lines           header and variables of matched lines, sorted by file, chunk, template
@@ -12,6 +12,8 @@ encodings work on columns of one meaning.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def codec(backend: str) -> str:
     return CODECS[backend]
 
 
+def _line_crc():
+    """Of a line and its number, so that lines that change places change the sum."""
+    return F.crc32(F.concat(F.col("line_no").cast("string"), F.lit(":"), F.col("raw")))
+
+
 def tables(lines: DataFrame, chunk_lines: int = 100_000, options: dict | None = None) -> dict[str, DataFrame]:
     """The archive's tables, computed but not written."""
     model = mining.train(lines, **(options or {}))
@@ -43,7 +50,7 @@ def tables(lines: DataFrame, chunk_lines: int = 100_000, options: dict | None =
     words = columns.join(profiles.where("encoding = 'dict'").select(*profile.KEY), profile.KEY, "left_semi")
     used = good.select("file", F.col("eid").alias("tid")).distinct()
     return {
-        "entries": matched.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("raw") + 1).alias("n_bytes"), F.sum(F.crc32("raw")).alias("checksum"), F.countDistinct("chunk").alias("n_chunks")).withColumn("chunk_lines", F.lit(chunk_lines)),
+        "entries": matched.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("raw") + 1).alias("n_bytes"), F.sum(_line_crc()).alias("checksum"), F.countDistinct("chunk").alias("n_chunks")).withColumn("chunk_lines", F.lit(chunk_lines)),
         "header_schema": profile.header_schema(lines),
         "templates": model.templates.join(used, ["file", "tid"], "left_semi"),
         "column_profile": profiles,
@@ -85,12 +92,49 @@ def listing(archive: dict[str, DataFrame]) -> DataFrame:
 
 def verify(archive: dict[str, DataFrame]) -> DataFrame:
     """Per entry whether the restored lines have the recorded number, bytes and checksum."""
-    now = restore(archive).groupBy("file").agg(F.count(F.lit(1)).alias("l"), F.sum(F.octet_length("raw") + 1).alias("b"), F.sum(F.crc32("raw")).alias("c"))
+    now = restore(archive).groupBy("file").agg(F.count(F.lit(1)).alias("l"), F.sum(F.octet_length("raw") + 1).alias("b"), F.sum(_line_crc()).alias("c"))
     both = archive["entries"].join(now, "file", "left")
     return both.select("file", "n_lines", "n_bytes", "checksum", F.coalesce((F.col("l") == F.col("n_lines")) & (F.col("b") == F.col("n_bytes")) & (F.col("c") == F.col("checksum")), F.lit(False)).alias("ok"))
 
 
+def common_folder(lines: DataFrame) -> str:
+    """The deepest folder that holds all files, with its slash; empty if there is none."""
+    low, high = lines.agg(F.min("file"), F.max("file")).first()
+    if low is None:
+        return ""
+    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return low[: low.rfind("/", 0, n if low != high else len(low)) + 1]
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """lines with entry: the file's path below the common folder."""
+    return lines.withColumn("entry", F.coalesce(F.substring("file", len(common_folder(lines)) + 1, 2**31 - 1), F.lit("_")))
+
+
 def to_text(lines: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One folder per file with its lines in order (one range of line numbers per part file)."""
-    ordered = lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
-    ordered.select(F.regexp_replace("file", "^.*/", "").alias("entry"), F.col("raw").alias("value")).write.partitionBy("entry").mode("overwrite" if overwrite else "errorifexists").text(path)
+    """Every file below path, at its place under the common folder, its lines in order.
+
+    Tasks write ranges of (entry, line number).  A file that lies in one range is moved to its
+    name; one that spans several becomes a folder of that name with its ranges in order."""
+    spark = lines.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(fs_path(path)):
+        if not overwrite:
+            raise FileExistsError(path)
+        fs.delete(fs_path(path), True)
+    raw = f"{path}/_parts"
+    ordered = entries(lines).repartitionByRange("entry", "line_no").sortWithinPartitions("entry", "line_no")
+    ordered.select("entry", F.col("raw").alias("value")).write.partitionBy("entry").text(raw)
+    for folder in fs.listStatus(fs_path(raw)):
+        name = folder.getPath().getName()
+        if not name.startswith("entry="):
+            continue
+        entry = unquote(name.removeprefix("entry="))
+        parts = sorted(p.getPath().getName() for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-"))
+        to = fs_path(f"{path}/{entry}")
+        fs.mkdirs(to.getParent() if len(parts) == 1 else to)
+        for p in parts:
+            if not fs.rename(fs_path(folder.getPath(), p), to if len(parts) == 1 else fs_path(to, p)):
+                raise OSError(f"{to} cannot be written")
+    fs.delete(fs_path(raw), True)

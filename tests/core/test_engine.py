@@ -176,3 +176,65 @@ def test_streaming_matches(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count() >= 0
+
+
+def test_decompress_restores_files(spark, tmp_path):
+    """Files of one name in different folders, in the order of their lines, byte for byte."""
+    from logquarry import cli
+
+    want = {}
+    for folder, n in (("x", 300), ("y/z", 250), ("y", 3)):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        body = "".join(f"2024-01-01 10:00:{i % 60:02d} INFO svc {i} line {i} of {folder} value {i * 7 % 13}\n" for i in range(n))
+        (tmp_path / "in" / folder / "app.log").write_text(body)
+        want[f"{folder}/app.log"] = body
+    assert cli.main(["c", "-r", str(tmp_path / "in"), "-o", str(tmp_path / "a")], spark) == 0
+    assert cli.main(["d", str(tmp_path / "a"), "-o", str(tmp_path / "out")], spark) == 0
+    found = {}
+    for p in sorted((tmp_path / "out").rglob("*")):
+        if p.is_file() and not p.name.startswith("."):
+            name = str(p.relative_to(tmp_path / "out"))
+            name = name if name.endswith("app.log") else str(p.parent.relative_to(tmp_path / "out"))
+            found[name] = found.get(name, "") + p.read_text()
+    assert found == want
+
+
+def test_verify_sees_swapped_lines(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logquarry.sources import archive
+
+    lines = spark.createDataFrame([("f", i, f"a b c d {i} x y") for i in range(20)] + [("f", 20, "short"), ("f", 21, "other")], "file string, line_no long, raw string")
+    made = archive.tables(lines)
+    assert archive.verify(made).first()["ok"]
+    swapped = made["failed"].withColumn("line_no", F.when(F.col("line_no") == 20, 21).when(F.col("line_no") == 21, 20).otherwise(F.col("line_no")).cast("long"))
+    assert not archive.verify({**made, "failed": swapped}).first()["ok"]
+
+
+def test_deltas_across_chunks(spark):
+    from logquarry.operators import profile
+
+    rng = [5, 9, None, 3, 3, -2, 8, 100, 99]
+    df = spark.createDataFrame([("k", i * 3, None if v is None else str(v)) for i, v in enumerate(rng)], "k string, line_no long, value string")
+    for chunk in (1, 4, 7, 1000):
+        got = [r["d"] for r in profile.with_deltas(df, ["k"], chunk).orderBy("line_no").collect()]
+        assert got == [5, 4, None, None, 0, -5, 10, 92, -1]
+    whole = df.where("value is not null")
+    for chunk in (1, 4, 1000):
+        back = profile.delta_decode(profile.with_deltas(whole, ["k"], chunk), ["k"], chunk)
+        assert [r["v"] for r in back.orderBy("line_no").collect()] == [5, 9, 3, 3, -2, 8, 100, 99]
+
+
+def test_walks_agree(spark):
+    """The broadcast walk and the joins by prefix find the same templates, wildcard branches and misses included."""
+    import random
+
+    from logquarry.operators import mining
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "b", "get", "12", "7.5", "deadbeef01", "10.0.0.1"])
+    lines = [(f"f{i % 2}", i // 2, " ".join(["h"] * 5 + [word() for _ in range(rng.randint(0, 11))])) for i in range(600)]
+    df = spark.createDataFrame(lines, "file string, line_no long, raw string")
+    model = mining.train(df, sample=40, branches=3)
+    found = [sorted((r["file"], r["line_no"], r["eid"], tuple(r["vars"] or ())) for r in mining.match(df, model, small=n).collect()) for n in (200_000, 0)]
+    assert found[0] == found[1] and {0} < {x[2] for x in found[0]}
