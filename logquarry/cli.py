@@ -22,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-backend", action="store_true")
     p.add_argument("--chunk-lines", type=int, default=100_000)
     p.add_argument("--window", type=int, default=20)
+    p.add_argument("--container", action="store_true", help="write byte containers, a blob per chunk, instead of tables")
+    p.add_argument("-j", "--jobs", type=int, default=0, help="partitions of a shuffle; default: the session's")
+    p.add_argument("--verify", action="store_true", default=True, help="read the archive back (the default)")
     p.add_argument("--no-verify", action="store_true", help="do not read the archive back")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("-q", "--quiet", action="store_true")
@@ -38,33 +41,86 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     return o
 
 
+def _tables(spark, path: str) -> bool:
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(of(f"{path}/entries"))
+
+
+def _listing(spark, path: str):
+    """(file, n_lines, n_bytes) of an archive, in order of the files."""
+    from pyspark.sql import functions as F
+
+    from .sources import archive, container
+
+    if _tables(spark, path):
+        rows = archive.listing(archive.open_tables(spark, path))
+    else:
+        rows = container.listing(container.read(spark, path)).groupBy("file").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_bytes").alias("n_bytes"))
+    return rows.orderBy("file")
+
+
+def _damaged(spark, path: str, lines=None) -> list[str]:
+    """Files that an archive of tables does not restore as recorded; of containers, which raise when a
+    checksum differs, those whose lines are not those given, or not as many as recorded."""
+    from pyspark.sql import functions as F
+
+    from .sources import archive, container
+
+    if _tables(spark, path):
+        return [r["file"] for r in archive.verify(archive.open_tables(spark, path)).where("not ok").orderBy("file").collect()]
+    of = lambda df: df.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(archive._line_crc()).alias("c"))
+    back = of(archive.open_lines(spark, path))
+    if lines is None:
+        known = container.listing(container.read(spark, path)).groupBy("file").agg(F.sum("n_lines").alias("n"))
+        bad = known.join(back.drop("c"), ["file", "n"], "left_anti")
+    else:
+        bad = of(lines).join(back, ["file", "n", "c"], "left_anti")
+    return [r["file"] for r in bad.select("file").orderBy("file").collect()]
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     o = options(argv)
     from pyspark.sql import SparkSession
 
-    from .sources import archive, files
+    from .sources import archive, container, files
 
     spark = spark or SparkSession.builder.appName("logquarry").getOrCreate()
+    say = (lambda *a: None) if o.quiet else (lambda *a: print(*a, file=sys.stderr))
+    if o.jobs > 0:
+        spark.conf.set("spark.sql.shuffle.partitions", str(o.jobs))
     try:
-        for path in o.paths:
+        paths = [(p, p) for p in o.paths]
+        if o.command != "compress":  # a folder of archives stands for all of them, in order of their names
+            paths = [(p, a) for p in o.paths for a in archive.find(spark, p)]
+        for given, path in paths:
             if o.command == "compress":
                 to = o.output or path.rstrip("/") + ".quarry"
-                archive.write(files.read_lines(spark, path, o.recursive), to, o.backend, o.level, o.chunk_lines, o.force)
-                bad = [] if o.no_verify else archive.verify(archive.open_tables(spark, to)).where("not ok").collect()
-                if bad:
-                    raise RuntimeError(f"{to} does not restore {bad[0]['file']}")
+                lines = files.read_lines(spark, path, o.recursive)
+                if o.container:
+                    container.write(lines, to, o.backend, o.level, o.chunk_lines, overwrite=o.force, window=o.window)
+                else:
+                    archive.write(lines, to, o.backend, o.level, o.chunk_lines, o.force)
+                if not o.no_verify and (bad := _damaged(spark, to, lines)):
+                    raise RuntimeError(f"{to} does not restore {bad[0]}")
+                if o.verbose:
+                    for r in _listing(spark, to).toLocalIterator():
+                        say(f"{r['file']}  {r['n_lines']} lines  {r['n_bytes']} bytes")
             elif o.command == "decompress" and o.stdout:
-                for r in archive.read(spark, path).orderBy("file", "line_no").toLocalIterator():
+                for r in archive.open_lines(spark, path).orderBy("file", "line_no").toLocalIterator():
                     sys.stdout.write(r["raw"] + "\n")
             elif o.command == "decompress":
-                archive.to_text(archive.read(spark, path), o.output or path.removesuffix(".quarry") + ".lines", o.force)
+                to = o.output or given.removesuffix(".quarry") + ".lines"
+                if path != given:
+                    to += "/" + path.rstrip("/").rpartition("/")[2].removesuffix(".quarry")
+                archive.to_text(archive.open_lines(spark, path), to, o.force)
+                if o.verbose:
+                    say(f"{path} -> {to}")
             elif o.command == "list":
-                for r in archive.listing(archive.open_tables(spark, path)).orderBy("file").toLocalIterator():
+                for r in _listing(spark, path).toLocalIterator():
                     print(f"{r['file']}  {r['n_lines']} lines  {r['n_bytes']} bytes")
             else:
-                rows = archive.verify(archive.open_tables(spark, path)).orderBy("file").collect()
-                bad = [r["file"] for r in rows if not r["ok"]]
-                print(f"{len(rows)} entries, {len(bad)} damaged", file=sys.stderr)
+                n, bad = _listing(spark, path).count(), _damaged(spark, path)
+                say(f"{n} entries, {len(bad)} damaged")
                 if bad:
                     return 1
     except Exception as e:  # noqa: BLE001

@@ -44,6 +44,17 @@ def is_float(value: Column) -> Column:
     return value.rlike(FLOAT) & (spelt | F.coalesce(F.abs(value.try_cast("double")) < F.lit(float("inf")), F.lit(False)))
 
 
+def parse_number(value: Column) -> Column:
+    """The value as a double, 0 where it is no floating-point literal within range."""
+    return F.when(is_float(value), F.coalesce(value.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def format_field(value: Column, form: Column) -> Column:
+    """A header field in its inferred format: whole numbers for %d, six decimals for %f, else as it is."""
+    number = parse_number(value)
+    return F.when(form == "%d", number.try_cast("long").cast("string")).when(form == "%f", F.format_string("%.6f", number)).otherwise(value)
+
+
 def delimiters(value: Column) -> Column:
     return F.regexp_replace(value, NOT_DELIMITER, "")
 
@@ -71,5 +82,50 @@ def varint_size(n: Column) -> Column:
     return F.floor((digits + 6) / 7).cast("int")
 
 
+def _bytes(parts: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(parts, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+
+
+def _group(n: Column, place: Column, bits: int) -> Column:
+    return F.call_function("shiftrightunsigned", n, (place * bits).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def varint(n: Column) -> Column:
+    """The zigzag LEB128 form of n, as bytes."""
+    z, last = zigzag(n), varint_size(n) - 1
+    return _bytes(F.transform(F.sequence(F.lit(0), last), lambda i: _group(z, i, 7).bitwiseOR(F.when(i < last, 128).otherwise(0).cast("long"))))
+
+
+def read_varint(raw: Column) -> Column:
+    """The number of a zigzag LEB128 form."""
+    at = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("long").bitwiseAND(F.lit(127))
+    places = F.sequence(F.lit(1), F.octet_length(raw))
+    return unzigzag(F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", at(i), (i - 1) * 7))))
+
+
+def fixed(n: Column, size: int) -> Column:
+    """n as so many bytes, the lowest first."""
+    return _bytes(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: _group(n.cast("long"), i, 8)))
+
+
+def read_fixed(raw: Column, size: int) -> Column:
+    parts = [F.shiftleft(F.conv(F.hex(F.substring(raw, i + 1, 1)), 16, 10).cast("long"), 8 * i) for i in range(size)]
+    return sum(parts[1:], parts[0])
+
+
+def short_string(value: Column) -> Column:
+    """The byte length in two bytes, then the bytes; null beyond 65535 bytes."""
+    return F.when(F.octet_length(value) <= 0xFFFF, F.concat(fixed(F.octet_length(value), 2), value.cast("binary")))
+
+
+def read_short_string(raw: Column) -> Column:
+    return F.substring(raw, F.lit(3), read_fixed(raw, 2).cast("int")).cast("string")
+
+
+def wrap32(n: Column) -> Column:
+    """n modulo 2**32 as a signed number."""
+    return F.pmod(n + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
 def entropy_weight(value: Column) -> Column:
     return F.when(value <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.log2(value.cast("double") + 1)))

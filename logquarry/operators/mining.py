@@ -149,6 +149,12 @@ def similarity(template: str, toks: str):
     return F.when((F.size(template) == F.size(toks)) & (F.size(toks) > 0), equal / F.size(toks)).otherwise(F.lit(0.0))
 
 
+def wildcards(template: str):
+    """The positions of a template's variables, from 0."""
+    places = F.transform(template, lambda t, i: F.when(t["is_var"], i).otherwise(-1))
+    return F.filter(places, lambda i: i >= 0)
+
+
 def variables(template: str, toks: str):
     both = F.zip_with(template, toks, lambda t, x: F.struct(t["is_var"].alias("v"), x.alias("x")))
     return F.transform(F.filter(both, lambda z: z["v"]), lambda z: z["x"])

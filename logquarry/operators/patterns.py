@@ -62,3 +62,31 @@ def splits(columns: DataFrame, pattern: str, key: list[str]) -> DataFrame:
     """Whether a literal pattern splits every row of a column into equally many parts, more than one."""
     n = F.size(F.filter(split_by(F.col("value"), pattern), lambda x: x != ""))
     return columns.groupBy(*key).agg(F.min(n).alias("low"), F.max(n).alias("high")).select(*key, ((F.col("low") == F.col("high")) & (F.col("low") > 1)).alias("splits"), F.col("low").alias("parts"))
+
+
+def _parts():
+    """Parts of a value between occurrences of its column's literal pattern, empty ones dropped."""
+    own = F.split(F.col("value"), F.concat(F.lit("\\Q"), F.col("pattern"), F.lit("\\E")), F.lit(-1))
+    return F.filter(own, lambda x: x != "")
+
+
+def analyse(columns: DataFrame, key: list[str], below: float = 0.5, least: int = 3) -> DataFrame:
+    """(key, n, n_distinct, pattern, verdict, parts) of the columns of at least three rows.
+
+    `dict` if less than half of the values are distinct; else `pattern` if the common delimiters, more
+    than one, split every row into equally many parts, more than one; else `none`.  Only columns that
+    are no dictionaries are folded to a pattern."""
+    counts = columns.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct")).where(F.col("n") >= least)
+    many = F.col("n_distinct") / F.col("n") >= below
+    wide = columns.join(counts.where(many).select(*key), key, "left_semi")
+    known = column_patterns(wide, key).where(F.length("pattern") > 1)
+    sizes = wide.join(known, key).groupBy(*key, "pattern").agg(F.min(F.size(_parts())).alias("low"), F.max(F.size(_parts())).alias("high"))
+    splits = sizes.where((F.col("low") == F.col("high")) & (F.col("low") > 1)).select(*key, "pattern", F.col("low").alias("parts"))
+    verdict = F.when(~many, "dict").when(F.col("pattern").isNotNull(), "pattern").otherwise("none")
+    return counts.join(splits, key, "left").select(*key, "n", "n_distinct", F.coalesce("pattern", F.lit("")).alias("pattern"), verdict.alias("verdict"), F.coalesce("parts", F.lit(1)).alias("parts"))
+
+
+def subfields(columns: DataFrame, analysed: DataFrame, key: list[str]) -> DataFrame:
+    """(key, sub, line_no, value): the parts of the columns whose verdict is `pattern`, a column each."""
+    known = analysed.where("verdict = 'pattern'").select(*key, "pattern")
+    return columns.join(known, key).select(*key, "line_no", F.posexplode(_parts()).alias("sub", "value"))

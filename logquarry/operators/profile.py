@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CANONICAL, entropy_weight, is_float
+from ..functions.text import CANONICAL, entropy_weight, format_field, is_float, wrap32
 
 DICTIONARY_BELOW = 0.5
 KEY = ["file", "kind", "tid", "col"]
@@ -105,6 +105,38 @@ def delta_decode(deltas: DataFrame, key: list[str] = KEY, chunk_lines: int = CHU
     return rows.withColumn("_v", F.sum("d").over(inner)).join(total, same).select(*key, "line_no", (F.col("_v") + F.col("_ahead")).alias("v"))
 
 
+def deltas32(columns: DataFrame, key: list[str] = KEY, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """(key, line_no, d): differences of 32-bit numbers, wrapped to 32 bits."""
+    return with_deltas(columns, key, chunk_lines).select(*key, "line_no", wrap32(F.col("d")).alias("d"))
+
+
+def delta_decode32(deltas: DataFrame, key: list[str] = KEY, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    return delta_decode(deltas, key, chunk_lines).withColumn("v", wrap32(F.col("v")))
+
+
+def first_occurrences(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Each distinct row of the columns with `first`, the least value of the order column it occurs at."""
+    return df.groupBy(*columns).agg(F.min(order).alias("first"))
+
+
+def formatted_headers(parsed: DataFrame, schema: DataFrame) -> DataFrame:
+    """(file, line_no, formatted): each header field in its format with its delimiter.
+
+    The schema, a row per file and field, becomes a row per file with the fields in order.  Headers of
+    fewer fields are joined by spaces as they are."""
+    fields = schema.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("field", "format", "delim"))).alias("_f"))
+    part = lambda v, f: F.concat(format_field(v, f["format"]), f["delim"])
+    short = F.size("header") < F.size("_f")
+    whole = F.array_join(F.zip_with("header", "_f", part), "")
+    return parsed.join(fields, "file").select("file", "line_no", F.when(short, F.array_join("header", " ")).otherwise(whole).alias("formatted"))
+
+
+def bit_width(schema: DataFrame, head: int = 5) -> DataFrame:
+    """(file, bits): an estimate of a header's bits from the widths of its numeric fields, 8 where a width is not known."""
+    width = F.when(F.col("is_numeric"), F.when(F.col("max_len") > 0, F.col("max_len")).otherwise(8)).otherwise(0)
+    return schema.groupBy("file").agg((F.sum(width) * head * 4).cast("int").alias("bits"))
+
+
 def header_schema(lines: DataFrame, sample: int = 1000, head: int = 5) -> DataFrame:
     """Per file and header field: numeric or not, printf format, width (numeric fields), delimiter."""
     from .mining import parsed

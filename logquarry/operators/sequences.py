@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 @dataclass
 class Sampling:
@@ -115,3 +117,34 @@ def balanced(assigned: DataFrame, options: Sampling) -> DataFrame:
     k = max(1, assigned.select("c").distinct().count())
     w = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(options.seed), "id"), "id")
     return assigned.withColumn("i", F.row_number().over(w)).where(F.col("i") <= -(-options.candidates // k)).select("id", "c")
+
+
+def dense(seqs: DataFrame) -> DataFrame:
+    """points (id, v, file, win) of one file's windows: a coordinate per event id up to the largest; ids number the windows."""
+    cells = vectors(seqs)
+    width = cells.agg(F.max("eid")).first()[0]
+    slots = F.sequence(F.lit(0), F.lit(int(width or 0)))
+    own = cells.groupBy("file", "win").agg(F.map_from_entries(F.collect_list(F.struct("eid", "x"))).alias("m"))
+    every = seqs.select("file", "win").join(own, ["file", "win"], "left")
+    at = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0))
+    v = F.when(F.col("m").isNull(), F.transform(slots, lambda i: F.lit(0.0))).otherwise(F.transform(slots, at))
+    return every.select(F.col("win").alias("id"), v.alias("v"), "file", "win")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sample(events: DataFrame, options: Sampling) -> DataFrame:
+    """(win, c): a balanced sample of the windows of one file's events (file, line_no, eid), c the cluster.
+
+    Without any cluster, one window at random but repeatable, its c null."""
+    seqs = _written(windows(events, options.window), "windows")
+    points = _written(dense(seqs), "points")  # every round of clustering reads them
+    assigned, centers = cluster(points.select("id", "v"), options)
+    if centers is None:
+        one = points.orderBy(F.xxhash64(F.lit(options.seed), "id"), "id").limit(1)
+        return one.select("win", F.lit(None).cast("int").alias("c"))
+    return balanced(assigned, options).select(F.col("id").alias("win"), "c")

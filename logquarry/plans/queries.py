@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import mining, patterns, profile, sequences
-from ..sources import archive, files
+from ..sources import archive, container, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,12 +293,12 @@ def archive_verify(spark, d):
 
 @query(f"WITH {_L} SELECT line_no // 1000 AS chunk, count(*) AS n_lines, min(line_no) AS first_line FROM L GROUP BY 1")
 def chunk_assign(spark, d):
-    return _lines(spark, d).groupBy(F.floor(F.col("line_no") / 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
+    return _lines(spark, d).groupBy(archive.chunk_of(F.col("line_no"), 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
 @query("SELECT event_type, min(event_id) AS first_id FROM events GROUP BY event_type")
 def first_occurrence_dedupe(spark, d):
-    return _table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id"))
+    return profile.first_occurrences(_table(spark, d, "events"), ["event_type"], "event_id").withColumnRenamed("first", "first_id")
 
 
 @query(f"WITH {_D} SELECT file, line_no, raw FROM DT WHERE len(toks) < 5")
@@ -369,3 +369,237 @@ def _threshold(spark, d) -> float:
     """The root mean square distance between two points: twice the mean square distance from the mean, of all points."""
     cells = _points(spark, d).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s"))
     return float((2 * (cells.agg(F.sum("s")).first()[0] or 0.5)) ** 0.5)
+
+
+# Lines that are not all alike: from line 1000 on, of every 50 one is too short, one has a header alone, one no
+# template, one a word where all others have a number, one a double space.
+_X = f"""{_E}, Y AS (SELECT *, CASE WHEN line_no >= 1000 THEN line_no % 50 ELSE -1 END AS r, array_to_string(toks[1:5], ' ') AS h FROM M),
+X AS (SELECT line_no, tid, toks, r, CASE r WHEN 0 THEN 'orphan ' || line_no WHEN 1 THEN h WHEN 2 THEN h || ' unknown thing ' || line_no
+ WHEN 3 THEN h || ' user bob ' || array_to_string(toks[8:], ' ') WHEN 4 THEN h || '  ' || array_to_string(toks[6:], ' ') ELSE raw END AS line FROM Y)"""
+
+
+def _mixed(spark, d):
+    rows = mining.parsed(_lines(spark, d))
+    r = F.when(F.col("line_no") >= 1000, F.col("line_no") % 50).otherwise(-1)
+    h, own = F.array_join("header", " "), F.array_join("content", " ")
+    after = F.array_join(F.slice("content", 3, 100), " ")
+    line = F.when(r == 0, F.concat(F.lit("orphan "), F.col("line_no"))).when(r == 1, h).when(r == 2, F.concat(h, F.lit(" unknown thing "), F.col("line_no"))).when(r == 3, F.concat(h, F.lit(" user bob "), after)).when(r == 4, F.concat(h, F.lit("  "), own)).otherwise(F.col("raw"))
+    return rows.select("file", "line_no", line.alias("raw"))
+
+
+@query(f"WITH {_X} SELECT line_no, CAST(CASE WHEN r = 0 THEN -1 WHEN r IN (1, 2) THEN 0 ELSE tid END AS INTEGER) AS eid, CASE WHEN r IN (0, 1, 2) THEN '' WHEN r = 3 THEN array_to_string(['bob', toks[11], toks[13]], '|') ELSE array_to_string([toks[7], toks[11], toks[13]], '|') END AS vars FROM X")
+def mixed_eids(spark, d):
+    lines = _mixed(spark, d)
+    return mining.match(lines, mining.train(lines)).select("line_no", "eid", F.coalesce(F.array_join("vars", "|"), F.lit("")).alias("vars"))
+
+
+@query(f"WITH {_X} SELECT line_no, CAST(CASE WHEN r = 0 THEN -1 WHEN r IN (1, 2) THEN 0 ELSE tid END AS INTEGER) AS eid FROM X")
+def mixed_eids_by_prefix(spark, d):
+    """As a model too large to broadcast is matched: joins by prefix, and walks of the prefixes that are no path."""
+    lines = _mixed(spark, d)
+    return mining.match(lines, mining.train(lines), small=0).select("line_no", "eid")
+
+
+@query(f"WITH {_X} SELECT line_no, CASE WHEN r = 0 THEN 'load' ELSE 'match' END AS kind, line AS raw FROM X WHERE r IN (0, 1, 2, 4)")
+def mixed_failed(spark, d):
+    return archive.tables(_mixed(spark, d))["failed"].select("line_no", "kind", "raw")
+
+
+@query(f"WITH {_X} SELECT line_no, line AS raw FROM X")
+def mixed_restored(spark, d):
+    return archive.restore(archive.tables(_mixed(spark, d))).select("line_no", "raw")
+
+
+@query(f"WITH {_X} SELECT 'events.log' AS file, line_no, line AS raw FROM X")
+def container_roundtrip(spark, d):
+    return container.decode(container.encode(_mixed(spark, d), chunk_lines=1000))
+
+
+@query(f"WITH {_L} SELECT * FROM L")
+def container_raw_roundtrip(spark, d):
+    return container.decode(container.encode(_lines(spark, d), backend="gzip", analysed=False))
+
+
+@query(f"""WITH {_X} SELECT 'events.log' AS file, line_no // 1000 AS chunk, count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes,
+CAST(count(DISTINCT CASE WHEN r NOT IN (0, 1, 2, 4) THEN tid END) AS INTEGER) AS n_templates, CAST(count(*) FILTER (r = 0) AS INTEGER) AS n_load, CAST(count(*) FILTER (r IN (1, 2, 4)) AS INTEGER) AS n_match FROM X GROUP BY ALL""")
+def container_listing(spark, d):
+    found = container.listing(container.encode(_mixed(spark, d), backend="none", chunk_lines=1000))
+    return found.select("file", F.col("chunk"), "n_lines", "n_bytes", F.col("n_templates").cast("int").alias("n_templates"), F.col("n_load").cast("int").alias("n_load"), F.col("n_match").cast("int").alias("n_match"))
+
+
+@query(f"WITH {_P} SELECT kind, CAST(tid AS INTEGER) AS tid, CAST(col AS INTEGER) AS col, encoding, n FROM P")
+def container_columns(spark, d):
+    """The encodings as they are stored, all lines in one chunk."""
+    return container.columns(container.encode(_lines(spark, d), chunk_lines=1 << 31)).select("kind", "tid", "col", "encoding", "n")
+
+
+@query(f"WITH {_L}, B AS (VALUES ('none'), ('gzip'), ('zstd')) SELECT col0 AS backend, count(*) AS n_lines, CAST(sum(strlen(raw)) AS BIGINT) AS n_bytes, min(raw) AS low, max(raw) AS high FROM L, B GROUP BY 1")
+def archive_backends(spark, d):
+    """Written to and read from files, with every backend."""
+    out = None
+    for backend in archive.CODECS:
+        path = files.scratch(spark, "archive")
+        archive.write(_lines(spark, d), path, backend)
+        back = archive.read(spark, path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("raw")).alias("n_bytes"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+        back = back.select(F.lit(backend).alias("backend"), "*")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(f"WITH {_T} SELECT toks[4] || '.log' AS name, row_number() OVER (PARTITION BY toks[4] ORDER BY line_no) - 1 AS line_no, raw FROM T")
+def read_files(spark, d):
+    """A file for each service, written in the order of the lines, read with their numbers."""
+    path = files.scratch(spark, "files")
+    rows = mining.parsed(_lines(spark, d)).select(F.concat(F.lit("logs/"), F.element_at("toks", 4), F.lit(".log")).alias("file"), "line_no", "raw")
+    archive.to_text(rows, path)
+    back = files.read_lines(spark, path, recursive=True, glob="*")
+    back = back.withColumn("name", F.regexp_extract("file", r"(svc-[0-9]+\.log)", 1))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("file", "line_no")) - 1  # a file of several tasks is a folder of parts
+    return back.select("name", place.cast("long").alias("line_no"), "raw")
+
+
+_FLOAT = "'^([+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?|0x([0-9a-f]+\\.?[0-9a-f]*|\\.[0-9a-f]+)p[+-]?[0-9]+|inf(inity)?)|nan)$', 'i'"
+
+
+@query(f"WITH {_D} SELECT t AS token, regexp_matches(t, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') AS is_numeric, regexp_matches(t, {_FLOAT}) AS is_float, CASE WHEN regexp_matches(t, {_FLOAT}) THEN coalesce(TRY_CAST(t AS DOUBLE), 0.0) ELSE 0.0 END AS number FROM (SELECT DISTINCT unnest(toks) AS t FROM DT)")
+def numeric_tokens(spark, d):
+    t = _docs(spark, d).select(F.explode("toks").alias("token")).distinct()
+    return t.select("token", text.is_numeric(F.col("token")).alias("is_numeric"), text.is_float(F.col("token")).alias("is_float"), text.parse_number(F.col("token")).alias("number"))
+
+
+@query("SELECT o_orderkey AS id, printf('%.6f', o_totalprice) AS price, CAST(o_custkey AS VARCHAR) AS cust, o_orderstatus AS status FROM orders")
+def format_fields(spark, d):
+    o = _table(spark, d, "orders")
+    own = lambda c, f: text.format_field(F.col(c).cast("string"), F.lit(f))
+    return o.select(F.col("o_orderkey").alias("id"), own("o_totalprice", "%f").alias("price"), own("o_custkey", "%d").alias("cust"), own("o_orderstatus", "%s").alias("status"))
+
+
+@query(f"WITH {_T} SELECT file, line_no, array_to_string(toks[1:5], ' ') || ' ' AS formatted FROM T")
+def format_headers(spark, d):
+    lines = _lines(spark, d)
+    return profile.formatted_headers(mining.parsed(lines), profile.header_schema(lines))
+
+
+@query(f"WITH {_T} SELECT 'events.log' AS file, CAST(max(strlen(toks[5])) * 5 * 4 AS INTEGER) AS bits FROM T WHERE line_no < 1000")
+def header_bits(spark, d):
+    return profile.bit_width(profile.header_schema(_lines(spark, d)))
+
+
+@query(f"WITH {_E} SELECT CAST(tid AS INTEGER) AS tid, '1,5,7' AS positions FROM first")
+def template_wildcards(spark, d):
+    return mining.train(_lines(spark, d)).templates.select("tid", F.array_join(mining.wildcards("tokens").cast("array<string>"), ",").alias("positions"))
+
+
+_I = "I AS (SELECT o_orderkey AS id, ((o_orderkey * o_custkey * 104729 + 2147483648) % 4294967296) - 2147483648 AS n FROM orders)"
+
+
+def _ints(spark, d):
+    """Numbers of 32 bits, some of them negative."""
+    n = text.wrap32(F.col("o_orderkey") * F.col("o_custkey") * 104729)
+    return _table(spark, d, "orders").select(F.lit(1).alias("k"), F.col("o_orderkey").alias("line_no"), n.cast("string").alias("value"), n.alias("n"))
+
+
+@query(f"WITH {_I}, J AS (SELECT id, n - lag(n, 1, 0) OVER (ORDER BY id) AS d FROM I) SELECT id AS line_no, ((d + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS d FROM J")
+def delta_encode_32(spark, d):
+    return profile.deltas32(_ints(spark, d).drop("n"), ["k"]).select("line_no", "d")
+
+
+@query(f"WITH {_I} SELECT id AS line_no, n AS v FROM I")
+def delta_decode_32(spark, d):
+    return profile.delta_decode32(profile.deltas32(_ints(spark, d).drop("n"), ["k"]), ["k"]).select("line_no", "v")
+
+
+@query(f"""WITH {_I}, Z AS (SELECT id, n, CASE WHEN n >= 0 THEN 2 * n ELSE -2 * n - 1 END AS z FROM I)
+SELECT id, CASE WHEN z < 128 THEN printf('%02X', z) WHEN z < 16384 THEN printf('%02X%02X', z % 128 + 128, z // 128) WHEN z < 2097152 THEN printf('%02X%02X%02X', z % 128 + 128, z // 128 % 128 + 128, z // 16384)
+WHEN z < 268435456 THEN printf('%02X%02X%02X%02X', z % 128 + 128, z // 128 % 128 + 128, z // 16384 % 128 + 128, z // 2097152)
+ELSE printf('%02X%02X%02X%02X%02X', z % 128 + 128, z // 128 % 128 + 128, z // 16384 % 128 + 128, z // 2097152 % 128 + 128, z // 268435456) END AS bytes, n AS back FROM Z""")
+def varint_bytes(spark, d):
+    rows = _ints(spark, d).withColumn("b", text.varint(F.col("n")))
+    return rows.select(F.col("line_no").alias("id"), F.hex("b").alias("bytes"), text.read_varint(F.col("b")).alias("back"))
+
+
+@query("""SELECT o_orderkey AS id, printf('%02X%02X', o_custkey % 256, o_custkey // 256 % 256) AS b2, printf('%02X%02X%02X%02X', o_custkey % 256, o_custkey // 256 % 256, o_custkey // 65536 % 256, o_custkey // 16777216 % 256) AS b4,
+printf('%02X%02X%02X%02X', o_custkey % 256, o_custkey // 256 % 256, o_custkey // 65536 % 256, o_custkey // 16777216 % 256) || '00000000' AS b8, o_custkey AS back FROM orders""")
+def fixed_bytes(spark, d):
+    o, n = _table(spark, d, "orders"), F.col("o_custkey")
+    b = {f"b{size}": F.hex(text.fixed(n, size)) for size in (2, 4, 8)}
+    return o.select(F.col("o_orderkey").alias("id"), *(v.alias(k) for k, v in b.items()), text.read_fixed(text.fixed(n, 8), 8).alias("back"))
+
+
+@query("SELECT page_id, printf('%02X%02X', strlen(url) % 256, strlen(url) // 256) || hex(encode(url)) AS bytes, url AS back FROM pages")
+def short_strings(spark, d):
+    p = _table(spark, d, "pages").withColumn("b", text.short_string(F.col("url")))
+    return p.select("page_id", F.hex("b").alias("bytes"), text.read_short_string(F.col("b")).alias("back"))
+
+
+def _made(spark, d):
+    """Columns of known delimiters: high in distinct values and splitting, low in them, one delimiter, no literal pattern."""
+    key = F.col("o_orderkey").cast("string")
+    own = {"shard": F.concat(F.lit("shard::"), key), "priority": F.col("o_orderpriority"), "key": F.concat(F.lit("k."), key), "apart": F.concat(F.lit("a-"), key, F.lit("/b"))}
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("value")) for k, v in own.items()))
+    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("line_no"), F.explode(cells).alias("c")).select("c.k", "line_no", "c.value")
+
+
+@query("""SELECT k, n, CASE WHEN k = 'priority' THEN p ELSE n END AS n_distinct, CASE WHEN k = 'shard' THEN '::' ELSE '' END AS pattern, CASE k WHEN 'shard' THEN 'pattern' WHEN 'priority' THEN 'dict' ELSE 'none' END AS verdict, CAST(CASE WHEN k = 'shard' THEN 2 ELSE 1 END AS INTEGER) AS parts
+FROM (SELECT count(*) AS n, count(DISTINCT o_orderpriority) AS p FROM orders), (VALUES ('shard'), ('priority'), ('key'), ('apart')) AS x(k)""")
+def column_analysis(spark, d):
+    return patterns.analyse(_made(spark, d), ["k"])
+
+
+@query("SELECT 'shard' AS k, CAST(0 AS INTEGER) AS sub, o_orderkey AS line_no, 'shard' AS value FROM orders UNION ALL SELECT 'shard', 1, o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders")
+def pattern_subfields(spark, d):
+    rows = _made(spark, d)
+    return patterns.subfields(rows, patterns.analyse(rows, ["k"]), ["k"])
+
+
+@query("SELECT CAST(0 AS INTEGER) AS sub, count(*) AS n, CAST(1 AS BIGINT) AS n_distinct, 'dict' AS encoding FROM orders UNION ALL SELECT 1, count(*), count(DISTINCT o_orderkey), 'delta' FROM orders")
+def subfield_profile(spark, d):
+    """Sub-columns by the rule of columns: the first repeats one word, the second counts up."""
+    rows = _made(spark, d)
+    parts = patterns.subfields(rows, patterns.analyse(rows, ["k"]), ["k"])
+    return profile.profile(parts, ["k", "sub"]).select("sub", "n", "n_distinct", "encoding")
+
+
+@query("SELECT k, p AS pattern FROM (VALUES ('date', '--'), ('price', ''), ('mixed', '-/'), ('nested', '[(::)]')) AS x(k, p)")
+def delimiter_lcs_known(spark, d):
+    """Columns whose longest common subsequence of delimiters is known from how they are made."""
+    o, odd = _table(spark, d, "orders"), F.col("o_orderkey") % 2 == 1
+    key = F.col("o_orderkey").cast("string")
+    own = {"date": F.date_format("o_orderdate", "yyyy-MM-dd"), "price": F.concat(key, F.lit(".5")), "mixed": F.concat(F.lit("a-b/"), F.when(odd, F.concat(F.lit("c."), key)).otherwise(key)), "nested": F.concat(F.when(odd, "#").otherwise(""), F.lit("[("), key, F.lit("::x)]"))}
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("value")) for k, v in own.items()))
+    rows = o.select(F.col("o_orderkey").alias("line_no"), F.explode(cells).alias("c")).select("c.k", "line_no", "c.value")
+    return patterns.column_patterns(rows, ["k"])
+
+
+def _blobs(spark, d):
+    """Points in three groups that lie far apart."""
+    k = F.col("o_orderkey")
+    return _table(spark, d, "orders").select(k.alias("id"), F.array((k % 3 * 1000).cast("double"), (F.col("o_custkey") % 10).cast("double") / 10).alias("v"))
+
+
+_BLOBS = sequences.Sampling(rate=0.05, candidates=60, threshold=5.0)
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 AS rep FROM orders")
+def hac_groups(spark, d):
+    """Clusters by their least members: the groups the points were made in."""
+    assigned, _ = sequences.cluster(_blobs(spark, d), _BLOBS)
+    return assigned.join(assigned.groupBy("c").agg(F.min("id").alias("rep")), "c").select("id", "rep")
+
+
+@query("SELECT g, CAST(20 AS BIGINT) AS n FROM (VALUES (0), (1), (2)) AS x(g)")
+def balanced_groups(spark, d):
+    picked = sequences.balanced(sequences.cluster(_blobs(spark, d), _BLOBS)[0], _BLOBS)
+    return picked.groupBy((F.col("id") % 3).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n, true AS alone")
+def sequence_sample_alone(spark, d):
+    """Fewer windows than candidates are not clustered: one is picked."""
+    picked = sequences.sample(_matched(spark, d).select("file", "line_no", "eid"), sequences.Sampling(candidates=1 << 30))
+    return picked.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("c").isNull()).alias("alone"))
+
+
+@query()
+def sequence_sample(spark, d):
+    return sequences.sample(_matched(spark, d).select("file", "line_no", "eid"), sequences.Sampling(candidates=20))

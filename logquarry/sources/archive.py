@@ -40,10 +40,14 @@ def _line_crc():
     return F.crc32(F.concat(F.col("line_no").cast("string"), F.lit(":"), F.col("raw")))
 
 
+def chunk_of(line_no, chunk_lines: int):
+    return F.floor(line_no / chunk_lines)
+
+
 def tables(lines: DataFrame, chunk_lines: int = 100_000, options: dict | None = None) -> dict[str, DataFrame]:
     """The archive's tables, computed but not written."""
     model = mining.train(lines, **(options or {}))
-    matched = mining.gated(mining.match(lines, model)).withColumn("chunk", F.floor(F.col("line_no") / chunk_lines)).persist()
+    matched = mining.gated(mining.match(lines, model)).withColumn("chunk", chunk_of(F.col("line_no"), chunk_lines)).persist()
     good = matched.where("exact")
     columns = profile.long_columns(good.select("file", "line_no", "eid", "header", "vars"))
     profiles = profile.profile(columns)
@@ -86,6 +90,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return restore(open_tables(spark, path))
 
 
+def find(spark: SparkSession, path: str) -> list[str]:
+    """The archives at path: itself, or those of a folder (not of folders below), in order of their names."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    holds = lambda p: any(fs.exists(of(f"{p}/{x}")) for x in ("entries", "containers"))
+    if holds(path) or not fs.getFileStatus(of(path)).isDirectory():
+        return [path]
+    inside = sorted(f.getPath().toString() for f in fs.listStatus(of(path)))
+    return [p for p in inside if holds(p) or p.endswith(".logz")]
+
+
+def open_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an archive of tables, a table of containers or a container file."""
+    from . import container
+
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(of(f"{path}/entries")):
+        return read(spark, path)
+    return container.decode(container.read(spark, path))
+
+
 def listing(archive: dict[str, DataFrame]) -> DataFrame:
     return archive["entries"].select("file", "n_lines", "n_bytes", "n_chunks")
 

@@ -30,6 +30,19 @@ def read_lines(spark: SparkSession, path: str, recursive: bool = False, glob: st
     return rows.join(before, ["file", "at"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), "raw")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; a local folder on a local master only."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        top = tempfile.gettempdir()
+    return f"{top}/quarry-{name}-{uuid.uuid4().hex}"
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     """The events table rendered as log lines of one file, numbered by event."""
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.concat(F.lit("svc-"), F.col("user_id") % 7), F.col("event_id"), F.lit("user"), F.col("user_id"), F.lit("action"), F.col("event_type"), F.lit("value"), F.floor(F.col("value") * 100).cast("long"), F.lit("k"), F.get_json_object("props", "$.k"))
