@@ -79,13 +79,13 @@ def test_stored_columns_follow_the_profile(spark):
 
 
 def test_several_entries_in_one_container(spark):
-    a, b = (lines(spark, apache(50 + 3 * i) + ["short"], f"f{i}") for i in range(2))
+    a, b = (lines(spark, [*apache(60), *["short"] * (1 + 3 * i)], f"f{i}") for i in range(2))
     parts = [container.parse(bytes(r["blob"])) for df in (a, b) for r in container.encode(df, analysed=False).collect()]
     assert parts[0].templates == parts[1].templates
     whole = container.Container([p.entries[0] for p in parts], parts[0].fields, parts[0].templates, [], [(i, p.chunks[0][1]) for i, p in enumerate(parts)], parts[0].failed | parts[1].failed)
     df = spark.createDataFrame([(bytearray(container.dump(whole)),)], "blob binary")
     got = [(r["file"], r["line_no"], r["raw"]) for r in container.decode(df).orderBy("file", "line_no").collect()]
-    assert got == [(f, i, x) for f, n in (("f0", 50), ("f1", 53)) for i, x in enumerate([*apache(n), "short"])]
+    assert got == [(f, i, x) for f, n in (("f0", 1), ("f1", 4)) for i, x in enumerate([*apache(60), *["short"] * n])]
 
 
 def test_folders_of_archives(spark, tmp_path, capsys):
