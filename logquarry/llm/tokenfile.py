@@ -41,6 +41,8 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 STEP = 256
 BLOCK_IDS = 1 << 18
+#: Parts of words whose ids a worker keeps, in each of two generations.
+REMEMBERED = 400_000
 
 BLOCKS = "shard long, block long, n_ids long, documents array<long>, sizes array<long>, offsets array<long>, words binary"
 
@@ -168,7 +170,7 @@ def _writer(path: str | None, end_id: int):
 
         from .tokens import encoder as shared_encoder
 
-        encoder, shard, block = shared_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, block = shared_encoder(path, REMEMBERED), TaskContext.get().partitionId(), 0
         docs: list[int] = []
         parts: list[np.ndarray] = []
 

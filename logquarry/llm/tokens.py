@@ -39,7 +39,8 @@ def default_path() -> str:
 class Encoder:
     """Encodes Arrow arrays of texts to one flat array of ids with offsets."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -73,7 +74,7 @@ class Encoder:
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece; an empty string has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         known[""] = b""
@@ -158,9 +159,9 @@ class Encoder:
             i = j
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder: what one task has learnt serves the next."""
     _text.release()  # what other operators left in this worker
-    if path not in _text.kept:
-        _text.kept[path] = Encoder(path)
-    return _text.kept[path]
+    if (path, remembered) not in _text.kept:
+        _text.kept[path, remembered] = Encoder(path, remembered)
+    return _text.kept[path, remembered]
