@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logquarry import cli
+from logquarry.functions import text
 from logquarry.operators import mining, patterns, profile, sequences
 from logquarry.sources import archive, codec, container
 
@@ -121,3 +122,9 @@ def test_samples(spark):
     assert len(one) == 1 and one[0]["c"] is None
     many = sequences.sample(events, sequences.Sampling(candidates=20, threshold=1.0)).collect()
     assert len(many) == 20 and {(r["c"], r["win"] % 2) for r in many} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+
+
+def test_sizes_of_numbers(spark):
+    edges = {s * (1 << b) + d for b in range(0, 62) for s in (1, -1) for d in (-1, 0, 1)} | {2**63 - 1, -(2**63)}
+    found = spark.createDataFrame([(n,) for n in sorted(edges)], "n long").select("n", text.varint_size(F.col("n"))).collect()
+    assert {n: size for n, size in found} == {n: len(codec.varint(n)) for n in edges}
