@@ -21,12 +21,15 @@ import pyarrow.compute as pc
 
 from . import _text
 
-#: Parts that a worker remembers in each of two generations; those of the older one that are not met again go.
+#: Parts that a worker goes on remembering once there are twice as many: those met last.
 REMEMBERED = 250_000
 # Fixed value: the pattern by which the tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters beyond these are left to the library, whose tables of letters may differ.
 _OTHER = re.compile("[^\n\r\t -~\xa1-\u024f]")
+#: A word of the letters of Latin scripts, and the signs that may follow it as one part (an apostrophe may not).
+_LATIN = r"\A ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WHOLE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
@@ -36,6 +39,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def gather(table: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of table that begin tells of, in the order of rows, and where each starts."""
+    size = np.diff(begin)[rows]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return table[np.arange(at[-1]) + np.repeat(begin[rows] - at[:-1], size)], at
+
+
 class Encoder:
     """Encodes Arrow arrays of texts to one flat array of ids with offsets."""
 
@@ -49,8 +59,10 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.type = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.cut = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Parts met before, their ids in a row, where each starts, and the call that met each last.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.begin = np.zeros(0, self.type), np.zeros(1, np.int64)
+        self.met, self.calls = np.zeros(0, np.int64), 0
         self.stop = self.library.encode("\n", add_special_tokens=False).ids
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
@@ -72,47 +84,60 @@ class Encoder:
             out += [flat[a:b] for a, b in zip([0, *(x + step for x in ends)], ends)]
         return out
 
-    def _coded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; an empty string has none."""
-        if len(self.known) > self.remembered:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        known[""] = b""
-        out = list(map(known.get, pieces))
-        words: dict[str, None] = {}
-        other: dict[str, None] = {}
-        one: list[int] = []
-        cut: list[tuple[int, tuple[str, ...]]] = []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            x = pieces[i]
-            if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
-                one.append(i)
-                words[x] = None
-                continue
-            if x[-1] in ".," and x[0] == " " and x[1:-1].isalpha():
-                parts = (x[:-1], x[-1])
-                words[x[:-1]] = other[x[-1]] = None
-            elif _OTHER.search(x):
-                parts = (x,)
-                other[x] = None
-            else:
-                parts = self.cut(x)
-                for y in parts:
-                    if y.isalpha() or y[0] == " " and y[1:].isalpha():
-                        words[y] = None
-                    else:
-                        other[y] = None
-            cut.append((i, parts))
-        for x in (words.keys() | other.keys()) & older.keys():
-            known.setdefault(x, older[x])
-        for found, coder in ((words, self._parts), (other, self._bytes)):
-            new = [x for x in found if x not in known]
-            known.update(zip(new, coder(new), strict=True))
-        for i in one:
-            out[i] = known[pieces[i]]
-        for i, parts in cut:
-            out[i] = b"".join([known[x] for x in parts])
-        return out
+    def _look_up(self, parts: pa.Array) -> np.ndarray:
+        """The place of each part in the memory; parts not met before are encoded and added."""
+        self.calls += 1
+        if len(self.known) > 2 * self.remembered:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: self.remembered])
+            self.known, self.met = self.known.take(pa.array(keep)), self.met[keep]
+            self.ids, self.begin = gather(self.ids, self.begin, keep)
+        unique = parts.dictionary_encode()
+        place = pc.index_in(unique.dictionary, value_set=self.known)
+        fresh = unique.dictionary.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh):
+            new = fresh.to_pylist()
+            word = np.array([x.isalpha() or x[0] == " " and x[1:].isalpha() for x in new])
+            order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+            coded = self._parts([new[i] for i in order[: word.sum()]]) + self._bytes([new[i] for i in order[word.sum() :]])
+            where = np.empty(len(new), np.int64)
+            where[order] = len(self.known) + np.arange(len(new))
+            place[place < 0] = where
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), self.type)])
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.type.itemsize
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[place] = self.calls
+        return place[unique.indices.to_numpy(zero_copy_only=False)]
+
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and where each starts; an empty string has none."""
+        stem = pc.ascii_rtrim(pieces, characters=_SIGNS)
+        plain = pc.match_substring_regex(stem, _LATIN)
+        own = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        stem = stem.take(pa.array(own))
+        # the signs after a word are one part
+        data, at = _text.utf8(pieces)
+        stop = at[own + 1]
+        tail = stop - at[own] - np.diff(_text.utf8(stem)[1])
+        signed = np.flatnonzero(tail)
+        size = tail[signed]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        signs = data[np.repeat(stop[signed] - ends[1:], size) + np.arange(ends[-1])]
+        signs = pa.LargeStringArray.from_buffers(len(signed), pa.py_buffer(ends), pa.py_buffer(signs.tobytes()))
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False) & (np.diff(at) > 0))
+        cut, sizes = [], []
+        for x in pieces.take(pa.array(rest)).to_pylist():
+            parts = (x,) if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) or _OTHER.search(x) else self.cut(x)
+            cut += parts
+            sizes.append(len(parts))
+        place = self._look_up(pa.concat_arrays([stem, signs, pa.array(cut, pa.large_string())]))
+        # the parts in the order of their pieces
+        piece = np.concatenate([own, own[signed], np.repeat(rest, sizes).astype(np.int64)])
+        place = place[np.argsort(piece, kind="stable")]
+        ids, begin = gather(self.ids, self.begin, place)
+        return ids, begin[np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(pieces)))])]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -133,15 +158,10 @@ class Encoder:
         needed = np.zeros(len(unique) + len(opening), bool)
         needed[codes] = True
         pieces = pa.concat_arrays([pc.binary_join_element_wise(none, unique, pa.scalar(" ", none.type)), unique.take(pa.array(opening))])
-        pieces = pc.if_else(pa.array(needed), pieces, none).to_pylist()
-        coded = self._coded(pieces)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.type.itemsize
-        table, begin = np.frombuffer(b"".join(coded), self.type), np.concatenate([[0], np.cumsum(size)])
-        lengths = size[codes]
-        ids = table[np.arange(lengths.sum()) + np.repeat(begin[codes] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)] if len(lengths) else table[:0]
+        table, begin = self._coded(pc.if_else(pa.array(needed), pieces, none))
+        ids, places = gather(table, begin, codes)
         sizes = np.diff(first)
         sizes[whole] = 0
-        places = np.concatenate([[0], np.cumsum(lengths)])
         at = places[np.concatenate([[0], np.cumsum(sizes)])]
         if not whole.any():
             return ids, at
