@@ -54,18 +54,18 @@ def _chain(after: np.ndarray) -> np.ndarray:
     followed one by one, and then all stretches at once."""
     n = len(after)
     size = 64 * -(-n // 64)
-    to = np.concatenate([after, np.full(size - n + 1, size)])
+    kind = np.int32 if size < 1 << 31 else np.int64
+    to = np.concatenate([after, np.full(size - n + 1, size)]).astype(kind)
     to[to == n] = size
-    stop = (np.arange(size + 1) | 63) + 1
+    stop = (np.arange(size + 1, dtype=kind) | 63) + 1
     stop[size] = size
     leave = to.copy()
     for _ in range(6):  # at most 64 steps of one or more within a stretch
         leave = np.where(leave < stop, leave[leave], leave)
     heads, at = [], 0
-    out = leave.tolist()
     while at < size:
         heads.append(at)
-        at = out[at]
+        at = leave.item(at)
     now, found = np.array(heads, np.int64), []
     end = stop[now] if len(now) else now
     while len(now):
@@ -82,8 +82,10 @@ def encode(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8")
-    width = np.frexp((ids >> np.uint64(32)).astype(float))[1]  # exact: both halves have 32 bits
-    width = np.where(width > 0, width + 32, np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(float))[1]).astype(np.uint8)
+    width = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(float))[1].astype(np.uint8)  # exact: both halves have 32 bits
+    if ids.max() >> np.uint64(32):
+        high = np.frexp((ids >> np.uint64(32)).astype(float))[1].astype(np.uint8)
+        width = np.where(high > 0, high + np.uint8(32), width)
     huge = width > 60
     width = np.minimum(width, 60)
     # the selector at each place, from the widest ids of the next 1, 2, 3 ... ids
