@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 ORDER = 5
+#: Bytes of text handled at once: n-gram codes, sums and hashes take some hundred bytes for each.
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _SPACES = np.arange(256, dtype=np.uint8)
 _SPACES[[9, 10, 11, 12, 13]] = 32
@@ -47,11 +49,12 @@ def codes(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
     pad = order - 1
     sizes = np.diff(at)
     place = np.arange(len(data)) + np.repeat(np.arange(1, len(at)), sizes) * pad
-    wide = np.full(len(data) + pad * (len(at) - 1), 2, np.int64)
+    wide = np.full(len(data) + pad * (len(at) - 1), 2, np.uint8)
     wide[place] = data
     out = np.zeros(len(data), np.int64)
     for i in range(order):
-        out = out << 8 | wide[place - pad + i]
+        out <<= 8
+        out |= wide[place - pad + i]
     return out
 
 
@@ -78,12 +81,12 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([x or "" for x in batch.column(0).to_pylist()], object)
         for lang in np.unique(langs.astype(str)):
             texts = batch.column(1).filter(pa.array(langs == lang))
-            for _, data, at in _text.slices(texts):
+            for _, data, at in _text.slices(texts, SLICE_BYTES):
                 if len(data):
                     k, c = np.unique(codes(data, at), return_counts=True)
                     held.setdefault(lang, []).append((k, c.astype(np.int64)))
                     waiting += len(k)
-                if waiting > 3_000_000:
+                if waiting > 1_500_000:
                     held = {x: [merge(p)] for x, p in held.items()}
                     waiting = sum(len(p[0][0]) for p in held.values()) // 2
                     if 2 * waiting > 4_000_000:
@@ -217,7 +220,7 @@ def _judge(blob):
             texts, langs = batch.column(2), [x or "" for x in batch.column(1).to_pylist()]
             base: list[list[np.ndarray]] = []
             score = np.full(len(texts), np.nan)
-            for i, data, at in _text.slices(texts):
+            for i, data, at in _text.slices(texts, SLICE_BYTES):
                 base.append(base_counts(data, at))
                 if known is None or not len(data):
                     continue
@@ -230,10 +233,10 @@ def _judge(blob):
                     here = np.repeat(own == lang, np.diff(at))
                     g, p = known[lang]
                     logp[here] = p[np.minimum(np.searchsorted(g, keys[here]), len(g) - 1)]
-                sums = np.concatenate([[0], np.cumsum(logp)])
                 size = np.diff(at)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score[i : i + len(size)] = -(sums[at[1:]] - sums[at[:-1]]) / size
+                full = np.flatnonzero(size)
+                # each text's own sum: copies score alike, wherever they stand
+                score[i + full] = -np.add.reduceat(logp, at[full]) / size[full]
             cols = [np.concatenate(c) for c in zip(*base, strict=True)] if base else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(score, pa.float64(), from_pandas=True), *batch.columns[3:]], names=["doc_id", "lang", *(x.split()[0] for x in BASE.split(", ")), "log_perplexity", *batch.schema.names[3:]])
 
