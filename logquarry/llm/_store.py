@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(keys: DataFrame, most: int = 250_000) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has at most so many rows: then what it joins is not shuffled."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def drop(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

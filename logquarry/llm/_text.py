@@ -20,6 +20,8 @@ _SEQ = U(0xC2B2AE3D27D4EB4F)
 
 #: Bytes of text handled at once; arrays of eight bytes per byte of text stay near 16 MB.
 SLICE_BYTES = 2 << 20
+#: The same where some hundred bytes are held for each byte of text.
+SMALL_SLICE_BYTES = 1 << 19
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -99,7 +99,7 @@ def _scanner(block):
         for batch in batches:
             texts = batch.column(3)
             n_words, spans, items = [], [], []
-            for _, data, at in _text.slices(texts):
+            for _, data, at in _text.slices(texts, _text.SMALL_SLICE_BYTES):
                 sizes, hits = known.scan(data, at)
                 own, names = defaultdict(list), defaultdict(set)
                 for o, p, n, i in hits:
@@ -173,6 +173,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_byte
     """The documents that are not contaminated, with all their columns: each row by its own text."""
     d, t = _store.private(docs, 2)
     bad = _contamination(docs, benchmark, width, block_bytes).where("contaminated").select(F.col("_d").alias(d), F.col("_t").alias(t))
+    bad = _store.few(_store.written(bad, "contaminated"))
     marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
     return marked.join(bad, [d, t], "left_anti").select(*docs.columns)
 

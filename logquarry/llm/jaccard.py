@@ -177,7 +177,7 @@ def _signer(width: int, percent: int, bits: int, local_hot: int):
 
         def block(d, t, texts):
             ids, sizes, known, sigs, owners, sketches = [], [], {}, [], [], []
-            for _, data, at in _text.slices(texts):
+            for _, data, at in _text.slices(texts, _text.SMALL_SLICE_BYTES):
                 keys, edge = sets_of(data, at, width)
                 own, size = set_ids(keys, edge), np.diff(edge)
                 ids.append(own), sizes.append(size)
@@ -301,7 +301,7 @@ def _bucket(bits: int):
 def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, at in _text.slices(batch.column(1)):
+            for i, data, at in _text.slices(batch.column(1), _text.SMALL_SLICE_BYTES):
                 keys, edge = sets_of(data, at, width)
                 own = [pack_set(keys[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(own)), pa.array(own, pa.binary())], names=["set", "shingles"])
@@ -536,10 +536,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     d, t, again, number = _store.private(docs, 4)
     marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
     gone = spare.where("first is null").select(F.col("_d").alias(d), F.col("_t").alias(t))
-    kept = marked.join(gone, [d, t], "left_anti")
+    kept = marked.join(_store.few(gone), [d, t], "left_anti")
     twice = spare.where("first").select(F.col("_d").alias(d), F.col("_t").alias(t), F.lit(True).alias(again))
     if not twice.isEmpty():  # rows that repeat: few keys, each with rows of one id and text
-        kept = kept.join(twice, [d, t], "left")
+        kept = kept.join(_store.few(twice), [d, t], "left")
         one = kept.where(F.col(again)).withColumn(number, F.row_number().over(Window.partitionBy(d, t).orderBy(d))).where(F.col(number) == 1)
         kept = kept.where(F.col(again).isNull()).select(*docs.columns).unionByName(one.select(*docs.columns))
     return kept.select(*docs.columns)

@@ -105,7 +105,7 @@ def packer(path: str | None, capacity: int, max_piece: int, group: int, end_id:
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             texts = batch.column(batch.schema.get_field_index("text"))
-            for first, ids, at in encoder.batches(texts):
+            for first, ids, at in encoder.batches(texts, 2 * _text.SLICE_BYTES):
                 ids = np.insert(ids.astype("<u4"), at[1:], end_id)
                 at = at + np.arange(len(at))
                 for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), first):

@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 ORDER = 5
-#: Bytes of text handled at once: n-gram codes, sums and hashes take some hundred bytes for each.
-SLICE_BYTES = 1 << 19
 U = np.uint64
 _SPACES = np.arange(256, dtype=np.uint8)
 _SPACES[[9, 10, 11, 12, 13]] = 32
@@ -81,7 +79,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([x or "" for x in batch.column(0).to_pylist()], object)
         for lang in np.unique(langs.astype(str)):
             texts = batch.column(1).filter(pa.array(langs == lang))
-            for _, data, at in _text.slices(texts, SLICE_BYTES):
+            for _, data, at in _text.slices(texts, _text.SMALL_SLICE_BYTES):
                 if len(data):
                     k, c = np.unique(codes(data, at), return_counts=True)
                     held.setdefault(lang, []).append((k, c.astype(np.int64)))
@@ -220,7 +218,7 @@ def _judge(blob):
             texts, langs = batch.column(2), [x or "" for x in batch.column(1).to_pylist()]
             base: list[list[np.ndarray]] = []
             score = np.full(len(texts), np.nan)
-            for i, data, at in _text.slices(texts, SLICE_BYTES):
+            for i, data, at in _text.slices(texts, _text.SMALL_SLICE_BYTES):
                 base.append(base_counts(data, at))
                 if known is None or not len(data):
                     continue
@@ -298,5 +296,6 @@ def keep(docs: DataFrame, spread: float = 4.0, broadcast_grams: int = 12_000_000
     """The documents that the rules keep, with all their columns: each row by its own text and language."""
     d, t, lang = _store.private(docs, 3)
     gone = _judged(docs, spread, broadcast_grams).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(d), F.col("_text").alias(t), F.coalesce("lang", F.lit("")).alias(lang))
+    gone = _store.few(_store.written(gone, "gone"))
     marked = docs.withColumns({d: _store.key_of("doc_id"), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), lang: F.coalesce(F.col("lang").cast("string"), F.lit(""))})
     return marked.join(gone, [d, t, lang], "left_anti").select(*docs.columns)

@@ -42,8 +42,13 @@ def default_path() -> str:
 def gather(table: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of table that begin tells of, in the order of rows, and where each starts."""
     size = np.diff(begin)[rows]
-    at = np.concatenate([[0], np.cumsum(size)])
-    return table[np.arange(at[-1]) + np.repeat(begin[rows] - at[:-1], size)], at
+    at = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    out = np.empty(at[-1], table.dtype)
+    for i in range(0, len(rows), 1 << 16):  # eight bytes for each id at once would be most of the memory
+        some, edge = rows[i : i + (1 << 16)], at[i : i + (1 << 16) + 1]
+        np.take(table, np.arange(edge[0], edge[-1]) + np.repeat(begin[some] - edge[:-1], size[i : i + (1 << 16)]), out=out[edge[0] : edge[-1]], mode="clip")
+    return out, at
 
 
 class Encoder:
@@ -146,7 +151,9 @@ class Encoder:
         first = split.offsets.to_numpy()
         first = first - first[0]
         flat = split.flatten().dictionary_encode()
-        number, unique = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+        del split
+        number, unique = flat.indices.to_numpy(zero_copy_only=False).copy(), flat.dictionary
+        del flat
         heads = number[first[:-1]]
         opening = np.unique(heads)
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False).astype(bool)

@@ -6,7 +6,9 @@ import tracemalloc
 
 import pyarrow as pa
 
-from logquarry.llm import quality
+from pyspark.sql import functions as F
+
+from logquarry.llm import decontam, jaccard, quality
 
 
 def corpus(size):
@@ -39,3 +41,36 @@ def test_quality_holds_little_beside_its_batch():
         tracemalloc.stop()
     assert scores[0] == scores[7] and all(x > 0 for x in scores)
     assert most < 100 << 20, most
+
+
+def test_decontamination_holds_little_beside_its_batch():
+    texts = pa.array(corpus(4 << 20))
+
+    class Block:
+        value = pickle.dumps(decontam.Windows([("i", texts[0].as_py())], decontam.WIDTH))
+
+    keys = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([keys, keys, keys, texts], names=["doc_id", "_d", "_t", "text"])
+    tracemalloc.start()
+    try:
+        sizes = [x for b in decontam._scanner(Block)(iter([batch])) for x in b.column(3).to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(sizes) == {200}
+    assert most < 60 << 20, most
+
+
+def test_few_rejected_rows_move_no_text(spark, odd, benchmark_table):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100)  # a size the rejected keys exceed
+    try:
+        check_plans(odd, benchmark_table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def check_plans(odd, benchmark_table):
+    for left in (quality.keep(odd), jaccard.keep_one(odd), decontam.remove(odd.withColumn("x", F.lit(1)), benchmark_table)):
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
