@@ -8,8 +8,8 @@ A byte goes if a string of `width` bytes over it also starts anywhere else.
    anchor of a block once, packed, to the bucket of its hash; buckets tell blocks which
    anchors occur again, and how often.
 2. Of anchors that do, the windows owned (the bytes from the first to the last) travel as one
-   context, keyed by anchor.  Equal contexts of a task travel once; the copies are repeats
-   already.  Anchors with more than `warm` occurrences send contexts of eight windows keyed
+   context, keyed by anchor.  Equal contexts of a batch travel once; the copies are repeats
+   already, and only their merged spans travel, a row a document.  Anchors with more than `warm` occurrences send contexts of eight windows keyed
    by anchor, place and what the eight share; those with more than `hot` send single windows,
    keyed by their content.  So no key gathers what grows with a hot group, beyond one entry
    a task.
@@ -172,6 +172,7 @@ def _contexts(width: int, gram: int, bits: int):
             ids, tags, flags, classes = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             seen: dict[tuple[int, bytes], int] = {}
             rows: list[list] = []
+            copies: dict[tuple[int, int], list[int]] = {}
             for i, data, at in _text.slices(batch.column(2)):
                 place, h, low, high, doc = anchors(data, at, width, gram)
                 raw, first = data.tobytes(), np.searchsorted(doc, np.arange(len(at)))
@@ -192,14 +193,20 @@ def _contexts(width: int, gram: int, bits: int):
                                 e, key = s, hash_bytes(raw[s : s + width], name)
                             context = raw[s : e + width]
                             if (key, context) in seen:
-                                rows.append([key, 1, key, d, t, s - base, e - s + 1, b""])
-                                rows[seen[key, context]][1] |= 2  # the one that travels is a repeat too
+                                own = copies.setdefault((d, t), [])
+                                if own and own[-2] <= s - base <= own[-1]:
+                                    own[-1] = max(own[-1], e - base + width)
+                                else:
+                                    own += (s - base, e - base + width)
+                                rows[seen[key, context]][1] = 2  # the one that travels is a repeat too
                             else:
                                 seen[key, context] = len(rows)
                                 rows.append([key, 0, key, d, t, s - base, e - s + 1, context])
                             s = e + 1
-            for n, r in enumerate(rows):  # a copy brings no context: any bucket can pass it on
-                r[0] = (n + r[3] if r[1] & 1 else r[2]) & ((1 << bits) - 1)
+            # a document's copies bring their spans instead of contexts: any bucket can pass them on
+            rows += [[n + d, 1, 0, d, t, 0, 0, np.array(own, "<i4").tobytes()] for n, ((d, t), own) in enumerate(copies.items())]
+            for r in rows:
+                r[0] &= (1 << bits) - 1
                 r[2] = r[2] - (1 << 64) if r[2] >= 1 << 63 else r[2]
             for k in range(0, len(rows), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows[k : k + (1 << 14)], strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
@@ -381,12 +388,16 @@ def _intervals(width: int, most: int = 4 << 20):
         d, t = table["_d"].to_numpy(), table["_t"].to_numpy()
         place, owned = table["place"].to_numpy().astype(np.int64), table["owned"].to_numpy().astype(np.int64)
         out = []
-        whole = np.flatnonzero(kind != 0)  # met their copy already
-        real = np.flatnonzero((kind & 1) == 0)
+        whole = np.flatnonzero(kind == 2)  # met their copy already
+        real = np.flatnonzero(kind != 1)
         texts = table["context"].combine_chunks() if isinstance(table["context"], pa.ChunkedArray) else table["context"]
         real, twins = _distinct(real, key[real], texts.take(pa.array(real)))
         whole = np.unique(np.concatenate([whole, twins]))
         out.append((whole, place[whole], place[whole] + owned[whole] - 1 + width))
+        copies = np.flatnonzero(kind == 1)
+        raw, at = _text.utf8(texts.take(pa.array(copies)))
+        pairs = np.frombuffer(raw.tobytes(), "<i4").astype(np.int64).reshape(-1, 2)
+        out.append((np.repeat(copies, np.diff(at) // 8), pairs[:, 0], pairs[:, 1]))
         i = 0
         while i < len(real):
             j, size = i, 0
