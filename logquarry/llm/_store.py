@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, what is written sends its rows to Python workers by so many at most.
+
+    An executor's JVM holds up to three times the bytes of a batch for each task, the worker up to twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    if not 0 < int(kept) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
 def few(keys: DataFrame, most: int = 250_000) -> DataFrame:
     """A written table of keys, marked for broadcast if it has at most so many rows: then what it joins is not shuffled."""
     return F.broadcast(keys) if keys.count() <= most else keys

@@ -125,6 +125,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), batch.column(1), batch.column(2)], names=[x.split()[0] for x in RESULT.split(", ")] + ["_d", "_t"])
 
 
+def _judge(block):
+    """Scan and digests of an only block in one pass: a second pass would hold a second worker for each task."""
+    scan = _scanner(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[pa.RecordBatch]:
+            for b in scan(batches):
+                each = pa.array(range(len(b) + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.ListArray.from_arrays(each, c) for c in b.columns[4:])], names=b.schema.names)
+
+        yield from _finish(found())
+
+    return run
+
+
 def _blocks(items: Iterator, block_bytes: int) -> Iterator[list]:
     block, size = [], 0
     for row in items:
@@ -137,23 +152,28 @@ def _blocks(items: Iterator, block_bytes: int) -> Iterator[list]:
         yield block
 
 
+def _sent(benchmark: DataFrame, width: int, block_bytes: int) -> list:
+    """A broadcast of windows for each block of the benchmark, at least one."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    send = lambda block: benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Windows(block, width)))
+    return [send(block) for block in _blocks(items.toLocalIterator(), block_bytes)] or [send([])]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return _store.keyed(docs).select("doc_id", "_d", "_t", "text")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """Per block of the benchmark, each document's words, hit spans (in words) and items."""
-    spark = docs.sparkSession
-    keyed = _store.keyed(docs).select("doc_id", "_d", "_t", "text")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    out = []
-    for block in _blocks(items.toLocalIterator(), block_bytes):
-        out.append(keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(Windows(block, width)))), HITS))
-    return out or [keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(Windows([], width)))), HITS)]
+    return [_keyed(docs).mapInArrow(_scanner(block), HITS) for block in _sent(benchmark, width, block_bytes)]
 
 
 def _contamination(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
-    found = hits(docs, benchmark, width, block_bytes)
+    blocks = _sent(benchmark, width, block_bytes)
+    if len(blocks) == 1:
+        return _keyed(docs).mapInArrow(_judge(blocks[0]), RESULT + ", _d long, _t long")
+    found = [_keyed(docs).mapInArrow(_scanner(block), HITS) for block in blocks]
     keys = ["doc_id", "_d", "_t", "n_words"]
-    if len(found) == 1:
-        one = found[0].select(*keys, F.array("starts").alias("starts"), F.array("ends").alias("ends"), F.array("items").alias("items"))
-        return one.mapInArrow(_text.tidy(_finish), RESULT + ", _d long, _t long")
     # rows that repeat are numbered within each block alike only by their number, so count and restore them
     each = [f.groupBy(*keys).agg(F.first("starts").alias("s"), F.first("ends").alias("e"), F.first("items").alias("i"), F.count(F.lit(1)).alias("n")) for f in found]
     every = each[0]

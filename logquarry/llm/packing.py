@@ -122,6 +122,8 @@ def packer(path: str | None, capacity: int, max_piece: int, group: int, end_id:
                     while len(rest) >= group:
                         whole += dealt(rest[:group])
                         rest = rest[group:]
+                del ids
+                _text.release()  # else what the allocators keep grows with the task
                 if len(whole) > 20_000:
                     yield flush(whole)
                     whole = []

@@ -4,6 +4,7 @@ import pickle
 import random
 import tracemalloc
 
+import corpus_pipeline
 import pyarrow as pa
 
 from pyspark.sql import functions as F
@@ -74,3 +75,32 @@ def check_plans(odd, benchmark_table):
     for left in (quality.keep(odd), jaccard.keep_one(odd), decontam.remove(odd.withColumn("x", F.lit(1)), benchmark_table)):
         plan = left._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_decontamination_has_one_worker_a_task(odd, benchmark_table):
+    plan = decontam.contamination(odd, benchmark_table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    def sizes(docs, *_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["rows"])
+
+        return docs.mapInArrow(run, "rows long")
+
+    def now(docs, *_):
+        return [r["rows"] for r in sizes(docs).collect()]
+
+    for module, name, f in ((quality, "keep", now), (decontam, "remove", now), (jaccard, "keep_one", now), (corpus_pipeline.packing, "pack", sizes)):
+        monkeypatch.setattr(module, name, f)
+    docs = spark.range(4500, numPartitions=1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.decontamination):
+        assert stage(spark, docs, "/root/testdata/sf0.001") == [1000] * 4 + [500]
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+    packed = corpus_pipeline.sequence_packing(spark, docs, "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+    assert sorted(r["rows"] for r in packed.collect()) == [500] + [1000] * 4  # though read after the stage
+    assert corpus_pipeline.ngram_jaccard(spark, docs, "") == [4500]
